@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import splits, survivor, topn
+from . import neighbours, splits, survivor, topn
 
 TOP = 5
 
@@ -81,4 +81,20 @@ def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     return _p3(spark, d, fields).select("task_key", "target_sha256", "term", "label_id", *fields)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.most_similar(read(spark, d, "vectors"), "text_sha256", "vec32", 64, TOP)
+    return near.select(F.least("key", "other").alias("sha_a"), F.greatest("key", "other").alias("sha_b")).distinct()
+
+
+def p5_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar other vectors of every embedding whose vec_id is divisible by 50, by greedy graph search."""
+    rows = read(spark, d, "embeddings").where(neighbours.usable(F.col("embedding"), 64)).groupBy(F.col("vec_id").alias("id")).agg(F.min("embedding").alias("vec"))
+    nodes = neighbours.write_out(rows, "nodes")
+    graph = neighbours.nn_descent(nodes, 64)
+    asked = nodes.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qvec"))
+    found = neighbours.greedy_search(graph, nodes, asked, TOP + 1).where("q <> v")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("place"))
+    return found.select(F.col("q").alias("vec_id"), F.col("v").alias("other_id"), F.round("sim", 6).alias("sim"), place.alias("place")).where(f"place <= {TOP}")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors, p5_found, p5_search)}
