@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import neighbours, splits, survivor, topn
+from . import neighbours, overlap, splits, survivor, topn
 
 TOP = 5
 
@@ -97,4 +97,21 @@ def p5_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("q").alias("vec_id"), F.col("v").alias("other_id"), F.round("sim", 6).alias("sim"), place.alias("place")).where(f"place <= {TOP}")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors, p5_found, p5_search)}
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    text = F.get_json_object("state_json", "$.column.description")
+    return overlap.overlaps(read(spark, d, "labels"), "label_id", "bench_card", ["state_sha256", "target_sha256"], text)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p6(spark, d).select(F.least("eval_key", "train_key").alias("label_a"), F.greatest("eval_key", "train_key").alias("label_b"))
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of either split that have a partner in the other one, per split and label_source."""
+    pairs = overlap.write_out(_p6(spark, d), "pairs")
+    sources = read(spark, d, "labels").where("label_id is not null").groupBy("label_id").agg(F.min("label_source").alias("label_source"))
+    sides = [pairs.groupBy(F.col(c).alias("label_id")).agg(F.count("*").alias("links")).withColumn("split", F.lit(s)) for c, s in (("eval_key", "evaluation"), ("train_key", "training"))]
+    return sides[0].union(sides[1]).join(sources, "label_id").groupBy("split", "label_source").agg(F.count("*").alias("labels"), F.sum("links").alias("links"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors, p5_found, p5_search, p6_found, p6_counts)}
