@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import neighbours, overlap, splits, survivor, topn
+from . import canonical, neighbours, overlap, splits, survivor, topn
 
 TOP = 5
 
@@ -114,4 +114,32 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return sides[0].union(sides[1]).join(sources, "label_id").groupBy("split", "label_source").agg(F.count("*").alias("labels"), F.sum("links").alias("links"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors, p5_found, p5_search, p6_found, p6_counts)}
+def _p4(spark: SparkSession, d: str) -> DataFrame:
+    columns = (
+        read(spark, d, "column_info").where("card is not null and col_pos is not null").groupBy("card", "col_pos")
+        .agg(F.max("name").alias("first"), F.max("description").alias("second"))
+        .select(F.lit("column_info").alias("src_table"), F.col("card").alias("parent_key"), F.col("col_pos").alias("pos"), F.lit("column").alias("kind"), "first", "second")
+    )
+    typed = (
+        read(spark, d, "decision_options").where("option_key like 'typed:%' and decision_id is not null and option_index is not null").groupBy("decision_id", "option_index")
+        .agg(F.max("option_text").alias("first"))
+        .select(F.lit("decision_options").alias("src_table"), F.col("decision_id").alias("parent_key"), F.col("option_index").alias("pos"), F.lit("term").alias("kind"), "first", F.lit(None).cast("string").alias("second"))
+    )
+    keys = canonical.write_out(columns.union(typed), "keys")
+    # The reference list is a fixed table; it is the vocabulary, so it must fit the driver.
+    items = [tuple(r) for r in read(spark, d, "canonical_items").select("item_id", "item_kind", "label", "synonyms").where("item_id is not null and label is not null").take(100_000)]
+    meant = canonical.canonical(keys.select("kind", "first", "second"), items)
+    on = [keys["kind"] == meant["kind"], keys["first"].eqNullSafe(meant["first"]), keys["second"].eqNullSafe(meant["second"])]
+    return keys.join(meant, on).select("src_table", "parent_key", "pos", keys["first"], keys["second"], "item_id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4(spark, d).select("src_table", "parent_key", "pos", "item_id")
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values without an entry, with the number of keys that carry them."""
+    return _p4(spark, d).where("item_id = 0").groupBy("src_table", "first", "second").agg(F.count("*").alias("keys"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors, p4_found, p4_unmatched, p5_found, p5_search, p6_found, p6_counts)}
