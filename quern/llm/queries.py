@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import canonical, neighbours, overlap, splits, survivor, topn
+from . import canonical, neighbours, overlap, residue, splits, survivor, topn
 
 TOP = 5
 
@@ -142,4 +142,21 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _p4(spark, d).where("item_id = 0").groupBy("src_table", "first", "second").agg(F.count("*").alias("keys"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors, p4_found, p4_unmatched, p5_found, p5_search, p6_found, p6_counts)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(read(spark, d, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with residue per source and kind."""
+    docs = read(spark, d, "documents")
+    found = residue.residue(docs, "doc_id", "text").select("doc_id", F.explode("kinds").alias("kind"))
+    return docs.select("doc_id", "source").distinct().join(found, "doc_id").groupBy("source", "kind").agg(F.count_distinct("doc_id").alias("docs"))
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus without documents that hold residue."""
+    docs = read(spark, d, "documents")
+    return docs.join(residue.residue(docs, "doc_id", "text").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "lang", F.length("text").alias("n_text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors, p4_found, p4_unmatched, p5_found, p5_search, p6_found, p6_counts, p9_found, p9_kinds, p9_clean)}
