@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import canonical, neighbours, overlap, residue, splits, survivor, topn
+from . import canonical, mixing, neighbours, overlap, packing, residue, splits, survivor, tokens, topn
 
 TOP = 5
 
@@ -159,4 +159,43 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(residue.residue(docs, "doc_id", "text").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "lang", F.length("text").alias("n_text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors, p4_found, p4_unmatched, p5_found, p5_search, p6_found, p6_counts, p9_found, p9_kinds, p9_clean)}
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), tokens.count_tokens(F.col("text")).alias("n"))
+    return packing.pack(docs, read(spark, d, "pack_limits"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d).select("limit_id", "container_id", F.col("key").cast("long").alias("doc_id"), "piece", F.col("start").alias("start_token"), F.col("n").alias("n_tokens"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and used share of the room, per limit."""
+    got = _p7(spark, d).groupBy("limit_id").agg(F.count_distinct("container_id").alias("containers"), F.sum("n").alias("tokens"))
+    return got.join(F.broadcast(read(spark, d, "pack_limits")), "limit_id").withColumn("fill", F.round(F.col("tokens") / F.col("containers") / F.col("capacity_tokens"), 6))
+
+
+def _p8(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple]]:
+    name = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[_\s]+", "-")
+    rows = read(spark, d, "mix_targets").select(name(F.col("source")).alias("source"), "target_share", "max_repeats").orderBy("source").take(1000)
+    targets = [tuple(r) for r in rows]
+    docs = read(spark, d, "documents").where("doc_id is not null and text <> ''").select("doc_id", name(F.col("source")).alias("source"), "text")
+    docs = docs.where(F.col("source").isin([t[0] for t in targets])).select("doc_id", "source", F.sha2("text", 256).alias("key"), tokens.count_tokens(F.col("text")).alias("n"))
+    # A text counts once, wherever it is repeated: with its smallest doc_id and that row's source.
+    texts = docs.groupBy("key").agg(F.min(F.struct("doc_id", "source", "n")).alias("r")).select("key", F.col("r.doc_id").alias("id"), "r.source", "r.n")
+    return mixing.mix(texts, targets)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    chosen, _ = _p8(spark, d)
+    return chosen.select(F.col("id").alias("doc_id"), "source", F.col("n").alias("n_tokens"), "repeats")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source, with what it has and gives."""
+    _, report = _p8(spark, d)
+    total = sum(r[4] for r in report) or 1
+    rows = [(s, float(share), int(n), float(want), int(used), round(used / total, 6), int(most)) for s, share, n, want, used, _, most in report]
+    return spark.createDataFrame(rows, "source string, target_share double, available_tokens long, wanted_tokens double, used_tokens long, reached_share double, max_repeats int")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors, p4_found, p4_unmatched, p5_found, p5_search, p6_found, p6_counts, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_kinds, p9_clean)}
