@@ -1 +1,6 @@
+"""Queries over the project's tables, by subject."""
 
+from . import evaluation
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "evaluation"]
