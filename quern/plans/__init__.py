@@ -1,6 +1,6 @@
 """Queries over the project's tables, by subject."""
 
-from . import evaluation
+from . import cards, evaluation, store
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation"]
+__all__ = ["ORACLES", "QUERIES", "cards", "evaluation", "store"]
