@@ -82,34 +82,50 @@ def _seeds(percent: int):
 def _spans(percent: int):
     """Walk a sorted part of the suffix array: within a run of equal seeds, spans shared by evaluation and training texts."""
 
-    def compare(run: pd.DataFrame) -> pd.DataFrame | None:
-        e, t = run[run["side"] == 0], run[run["side"] == 1]
-        if not len(e) or not len(t):
-            return None
-        width = max(map(len, run["after"]))
-        pad = lambda rows: np.array([[*x, *([0] * (width - len(x)))] for x in rows["after"]], dtype=np.int64).reshape(len(rows), width)
-        after, tn, tp, tid = pad(t), t["n"].to_numpy(), t["pos"].to_numpy(), t["tid"].to_numpy()
-        out = []
-        for x, n, p, i, real in zip(pad(e), e["n"], e["pos"], e["tid"], map(len, e["after"])):
-            longer = np.maximum(tn, n)
-            ok = (100 * np.minimum(tn, n) >= percent * longer) & (100 * np.abs(tp - p) <= (100 - percent) * longer) & (tid != i)
-            if ok.any():
-                same = (after[ok] == x)[:, :real]
-                common = np.where(same.all(axis=1), real, np.argmin(same, axis=1)) if real else np.zeros(ok.sum(), dtype=np.int64)
-                out.append(pd.DataFrame({"a": i, "b": tid[ok], "pos": p, "words": common + SEED}))
-        return pd.concat(out) if out else None
+    def compare(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        side, tid, n, pos = (rows[c].to_numpy() for c in ("side", "tid", "n", "pos"))
+        sizes = rows["after"].map(len).to_numpy()
+        after = np.zeros((len(rows), REACH), dtype=np.int64)
+        after[np.arange(REACH) < sizes[:, None]] = np.concatenate(rows["after"].to_list())
+        cell = rows["cell"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        ends = np.r_[starts[1:], len(rows)]
+        train = np.add.reduceat(side, starts)
+        mixed = np.flatnonzero((train > 0) & (train < ends - starts))
+
+        def spans(e: np.ndarray, t: np.ndarray) -> pd.DataFrame:
+            longer = np.maximum(n[e], n[t])
+            ok = (100 * np.minimum(n[e], n[t]) >= percent * longer) & (100 * np.abs(pos[e] - pos[t]) <= (100 - percent) * longer) & (tid[e] != tid[t])
+            e, t = e[ok], t[ok]
+            same = (after[e] == after[t]) & (np.arange(REACH) < np.minimum(sizes[e], sizes[t])[:, None])
+            return pd.DataFrame({"a": tid[e], "b": tid[t], "pos": pos[e], "words": np.cumprod(same, axis=1).sum(axis=1) + SEED})
+
+        held, count = [], 0
+        for a, b in zip(starts[mixed], ends[mixed]):
+            e, t = a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
+            # A long run is compared in slices of its evaluation side.
+            for i in range(0, len(e), max(1, 500_000 // len(t))):
+                part = e[i : i + max(1, 500_000 // len(t))]
+                held.append((np.repeat(part, len(t)), np.tile(t, len(part))))
+                count += len(part) * len(t)
+                if count > 500_000:
+                    yield spans(*map(np.concatenate, zip(*held)))
+                    held, count = [], 0
+        if held:
+            yield spans(*map(np.concatenate, zip(*held)))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for b in batches:
             rest = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            last = rest["cell"].iloc[-1] if len(rest) else None
-            ready, rest = rest[rest["cell"] != last], rest[rest["cell"] == last]
-            for _, run in ready.groupby("cell", sort=False):
-                if (got := compare(run)) is not None:
-                    yield got
-        if rest is not None and len(rest) and (got := compare(rest)) is not None:
-            yield got
+            if len(rest):
+                last = rest["cell"].to_numpy() == rest["cell"].iloc[-1]
+                cut = len(rest) - int(last.sum())
+                if cut:
+                    yield from compare(rest.iloc[:cut])
+                rest = rest.iloc[cut:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield from compare(rest)
 
     return walk
 
