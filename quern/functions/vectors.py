@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; inside a lambda it would be computed for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
@@ -24,13 +29,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column, eps: float = 1e-12) -> Column:
     """``a`` with length one; a vector shorter than ``eps`` is divided by ``eps``."""
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(eps)))
+    return let(F.greatest(norm(a), F.lit(eps)), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def softmax(x: Column, temperature: float = 1.0) -> Column:
     """Exponentials of the scores less their maximum, divided by their sum; empty and null arrays stay as they are."""
-    e = F.transform(x, lambda v: F.exp((v - F.array_max(x)) / temperature))
-    return F.transform(e, lambda v: v / total(e))
+    powers = let(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp((v - m) / temperature)))
+    return let(powers, lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t)))
 
 
 def sigmoid(x: Column) -> Column:
@@ -57,7 +62,7 @@ def margin(p: Column) -> Column:
 def masked(p: Column, keep: Column) -> Column:
     """Probabilities with masked places at zero, the rest sharing the whole; null if nothing is kept."""
     kept = F.zip_with(p, keep, lambda x, k: F.when(k, x).otherwise(F.lit(0.0)))
-    return F.when(total(kept) > 0, F.transform(kept, lambda x: x / total(kept)))
+    return let(kept, lambda z: let(total(z), lambda t: F.when(t > 0, F.transform(z, lambda x: x / t))))
 
 
 def pair_features(a: Column, b: Column) -> Column:

@@ -73,8 +73,8 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_EMB} SELECT vec_id, round(len, 5) AS len, round(list_sum(list_transform(v, lambda x: x / greatest(len, 1e-12))), 4) AS total FROM n")
 def l2_normalise(spark: SparkSession, d: str) -> DataFrame:
-    rows = embeddings(spark, d).withColumn("len", vectors.norm(F.col("v")))
-    return rows.select("vec_id", F.round("len", 5).alias("len"), F.round(vectors.total(F.transform("v", lambda x: x / F.greatest("len", F.lit(1e-12)))), 4).alias("total"))
+    rows = embeddings(spark, d)
+    return rows.select("vec_id", F.round(vectors.norm(F.col("v")), 5).alias("len"), F.round(vectors.total(vectors.unit(F.col("v"))), 4).alias("total"))
 
 
 def centroids(spark: SparkSession, d: str) -> DataFrame:
