@@ -1,6 +1,6 @@
 """Queries over the project's tables, by subject."""
 
-from . import arrays, cards, evaluation, events, fits, store
+from . import arrays, cards, evaluation, events, exchange, fits, store
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "arrays", "cards", "evaluation", "events", "fits", "store"]
+__all__ = ["ORACLES", "QUERIES", "arrays", "cards", "evaluation", "events", "exchange", "fits", "store"]
