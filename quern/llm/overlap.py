@@ -39,8 +39,8 @@ def _seeds(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mix, many = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)
         for b in batches:
-            seeds, tids, places, keep = [], [], [], []
-            for tid, h in zip(b["tid"], b["h"]):
+            seeds, tids, places, sides, slack = [], [], [], [], []
+            for tid, h, ev, tr in zip(b["tid"], b["h"], b["ev"], b["tr"]):
                 h = np.asarray(h, dtype=np.int64).view(np.uint64)
                 n, own = len(h), []
                 with np.errstate(over="ignore"):
@@ -53,7 +53,7 @@ def _seeds(percent: int):
                         first = np.r_[0, np.flatnonzero(np.diff(g[order])) + 1]
                         again = np.empty(len(g), dtype=np.uint64)
                         again[order] = (np.arange(len(g)) - np.repeat(first, np.diff(np.r_[first, len(g)]))).astype(np.uint64)
-                        own.append((g ^ (again * mix), np.arange(len(g)), n - SEED + 1 - max(1, _needed(n, percent)) + 1))
+                        own.append((g ^ (again * mix), np.arange(len(g)), 1 - max(1, _needed(n, percent))))
                     # Texts so short that an allowed change can break every seed: keys with a word or more left out.
                     short = [m for m in range(n, n * 100 // percent + 1) if _shared(m, percent) < 1]
                     if short:
@@ -67,14 +67,15 @@ def _seeds(percent: int):
                                 k = (k ^ w) * mix + many
                             keys.append(k)
                         keys = np.unique(np.array(keys, dtype=np.uint64))
-                        own.append((keys, np.full(len(keys), -1), len(keys)))
+                        own.append((keys, np.full(len(keys), -1), 0))
                 for g, p, k in own:
                     seeds.append(g.view(np.int64))
                     places.append(p)
                     tids.append(np.full(len(g), tid))
-                    keep.append(np.full(len(g), k))
+                    sides.append(np.full(len(g), int(ev) + 2 * int(tr)))
+                    slack.append(np.full(len(g), k))
             if seeds:
-                yield pd.DataFrame({"seed": np.concatenate(seeds), "tid": np.concatenate(tids), "pos": np.concatenate(places), "keep": np.concatenate(keep)})
+                yield pd.DataFrame({"seed": np.concatenate(seeds), "tid": np.concatenate(tids), "pos": np.concatenate(places), "side": np.concatenate(sides), "slack": np.concatenate(slack)})
 
     return run
 
@@ -166,11 +167,12 @@ def near_texts(texts: DataFrame, percent: int = 85) -> DataFrame:
     many tasks. What remains is checked exactly by the longest common subsequence.
     """
     nodes = texts.where(F.size("words") > 0).select("tid", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.size("words").alias("n"), "ev", "tr")
-    rows = nodes.select("tid", "h").mapInPandas(_seeds(percent), "seed long, tid long, pos int, keep int")
-    rows = write_out(rows.join(nodes.select("tid", "ev", "tr"), "tid"), "seeds")
-    cost = rows.groupBy("seed").agg(F.count_if("ev").alias("e"), F.count_if("tr").alias("t"))
-    order = Window.partitionBy("tid", F.col("pos") < 0).orderBy(F.col("e") * F.col("t"), "seed")
-    chosen = rows.join(cost, "seed").withColumn("_r", F.row_number().over(order)).where((F.col("_r") <= F.col("keep")) & (F.col("e") > 0) & (F.col("t") > 0))
+    rows = write_out(nodes.select("tid", "h", "ev", "tr").mapInPandas(_seeds(percent), "seed long, tid long, pos int, side tinyint, slack int"), "seeds")
+    cost = rows.groupBy("seed").agg(F.count_if(F.col("side") != 2).alias("e"), F.count_if(F.col("side") != 1).alias("t")).where("e > 0 and t > 0")
+    # Seeds of one split only cost nothing and come first; they are not carried along, the rest is counted from the end.
+    mine = Window.partitionBy("tid", F.col("pos") < 0)
+    place = F.row_number().over(mine.orderBy(F.col("e") * F.col("t"), "seed")) - F.count("*").over(mine)
+    chosen = rows.join(cost, "seed").withColumn("_r", place).where(F.col("_r") <= F.col("slack"))
     chosen = chosen.select("seed", "tid", "pos", "e", "t").join(nodes, "tid")
     deal_e, deal_t = F.ceil(F.col("e") / BLOCK).cast("int"), F.ceil(F.col("t") / BLOCK).cast("int")
     after = F.when(F.col("pos") >= 0, F.slice("h", F.col("pos") + SEED + 1, REACH)).otherwise(F.array().cast("array<bigint>"))
