@@ -209,11 +209,13 @@ def overlaps(df: DataFrame, key: str, evaluation: str, hashes: list[str], text:
     for h in hashes:
         same = both(rows.where(F.trim(F.coalesce(F.col(h), F.lit(""))) != "").select(key, evaluation, h).distinct(), h)
         found = same if found is None else found.union(same)
-    worded = rows.select(key, evaluation, plain_words(text).alias("words")).where(F.size("words") > 0).distinct()
-    texts = worded.groupBy("words").agg(F.bool_or(evaluation).alias("ev"), F.bool_or(~F.col(evaluation)).alias("tr"))
+    worded = rows.select(key, evaluation, plain_words(text).alias("words")).where(F.size("words") > 0)
+    worded = worded.withColumn("same", F.md5(F.array_join("words", " ")))
+    # Each text travels once; its records follow by the digest of its words.
+    texts = worded.groupBy("same").agg(F.first("words").alias("words"), F.bool_or(evaluation).alias("ev"), F.bool_or(~F.col(evaluation)).alias("tr"))
     texts = write_out(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
     near = near_texts(texts, percent).select("a", "b").union(texts.where("ev and tr").select(F.col("tid").alias("a"), F.col("tid").alias("b")))
-    member = worded.join(texts.select("words", "tid"), "words").select(key, evaluation, "tid")
+    member = worded.select(key, evaluation, "same").distinct().join(texts.select("same", "tid"), "same").select(key, evaluation, "tid")
     left = member.where(evaluation).select(F.col(key).alias("eval_key"), F.col("tid").alias("a"))
     right = member.where(~F.col(evaluation)).select(F.col(key).alias("train_key"), F.col("tid").alias("b"))
     alike = near.join(left, "a").join(right, "b").select("eval_key", "train_key")
