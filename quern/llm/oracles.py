@@ -43,9 +43,16 @@ reach AS (
   UNION SELECT a, v FROM reach JOIN edges ON b = u WHERE v IS NOT NULL)
 SELECT substr(min(b), 3) AS group_card, substr(a, 3) AS card FROM reach WHERE b LIKE 'c|%' GROUP BY a HAVING min(b) < a"""
 
+_P5 = """
+WITH v AS (SELECT text_sha256 AS k, min(vec32)::DOUBLE[] AS v FROM vectors
+  WHERE len(vec32) = 64 AND text_sha256 IS NOT NULL AND len(list_filter(vec32, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec32, lambda x: x <> 0)) > 0 GROUP BY 1),
+r AS (SELECT a.k, b.k AS o, row_number() OVER (PARTITION BY a.k ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.k) AS n FROM v a JOIN v b ON a.k <> b.k)
+SELECT DISTINCT least(k, o) AS sha_a, greatest(k, o) AS sha_b FROM r WHERE n <= 5"""
+
 ORACLES = {
     "p1_found": f"SELECT decision_id, option_index FROM ({_TOP})",
     "p1_top_options": _TOP,
     "p2_found": _P2,
     "p3_found": _P3,
+    "p5_found": _P5,
 }

@@ -106,7 +106,7 @@ RESIDUE = [
     "Lorem ipsum dolor sit amet elit sed tempor", "asdf asdf asdf asdf", "blah blah blah blah blah", "Real text.\n\nClick to edit this text.", "Bitte Text hier einfügen.", "Votre texte ici.", "Texto de ejemplo, por favor sustituir.",
     "404 Not Found", "<h1>Too\nmany requests.</h1>", "Access&nbsp;Denied. You don&#39;t have permission to access this resource.", "Sorry, something went wrong on our end.", "Seite nicht gefunden.", "Accès refusé.",
     "Traceback (most recent call last):\n  File \"a.py\", line 1", "Good text here about plots.\n\nYour session has expired.", "Please enable JavaScript to view this page.", "This viewer works only with scripts enabled.",
-    "Esta aplicación necesita scripts y cookies habilitados.", "Cette\napplication\nrequiert l'activation des scripts et des cookies.",
+    "Station portal\nYour\nbrowser does not support scripting, or it has been switched off.", "We\xa0could\nnot&nbsp;reach the station service. Incident 9e6", "Code&nbsp;401 unauthorized", "Esta aplicación necesita scripts y cookies habilitados.", "Cette\napplication\nrequiert l'activation des scripts et des cookies.",
 ]
 CLEAN = [
     None, "", " ", "The crew walked 404 metres and read 500 values.", "The client treats 502 Bad Gateway as temporary.", "The page that said \"Access denied.\" was removed.", "Our checker looks for strings like `{{ name }}` in cards.",
