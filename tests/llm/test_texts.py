@@ -25,7 +25,7 @@ ITEMS = [
         ("column", "LICHEN_ALBEDO", None, 1), ("column", "albdo_lichens", "-", 1), ("column", "lichenalbedo4", "", 1), ("column", "c_19", "Albedo of the crust symbiont", 1),
         ("column", "V3", "Snow: dens. at plot", 2), ("column", "x", "Mass per volume of the snow", 2), ("column", "rodent_nitro", None, 3), ("column", "c_1", "N content of the rodnet", 3),
         ("column", "snowAlbedo", None, 0), ("column", "lichen", None, 0), ("column", None, None, 0), ("column", "", "see protocol", 0), ("column", "uid", "Unique identifier", 0),
-        ("term", "hedgrow, dormant", None, 4), ("term", "dormant hedrgow", None, 4), ("term", "DORMANT SHRUB LINE?", None, 4), ("term", "Iie-Formed Inlet", None, 5),
+        ("term", "hedgrow, dormant", None, 4), ("term", "dormant hedrgow", None, 4), ("term", "DORMANT SHRUB LINE?", None, 4), ("term", "Iie-Formed Inlet", None, 5), ("term", "Iceformed Inlet", None, 5), ("term", "Icerformed inlet", None, 5), ("term", "inlet iceformed", None, 5),
         ("term", "ｇｌａｃｉａｌ ｉｎｌｅｔ", None, 5), ("term", "glácíal inlet", None, 5), ("term", "shaded dry grassland", None, 7), ("term", "dry steppe", None, 6), ("term", "glacial steppe", None, 0),
     ],
 )
