@@ -256,6 +256,29 @@ def sign_test_gain(spark: SparkSession, d: str) -> DataFrame:
     return resample.sign_test(predictions(spark, d), "grp", gain)
 
 
+@query(f"""{PRED}, g AS (SELECT grp, count(*) AS n, sum{GAIN} AS gain FROM scored GROUP BY grp HAVING count(*) >= 10)
+SELECT count(*) AS clusters, count(*) FILTER (50 * gain > -n) AS wins FROM g""")
+def sign_margin_report(spark: SparkSession, d: str) -> DataFrame:
+    """Cards whose loss stays within a margin of one in fifty, in whole numbers."""
+    gain = F.col("correct").cast("int") - (F.col("majority") == F.col("label")).cast("int")
+    per = predictions(spark, d).groupBy("grp").agg(F.count("*").alias("n"), F.sum(gain).alias("gain")).where("n >= 10")
+    return per.agg(F.count("*").alias("clusters"), F.count_if(50 * F.col("gain") > -F.col("n")).alias("wins"))
+
+
+@query(f"""{PRED}, {BOOT.replace('sum(correct::int)', f'sum{GAIN}')}, g AS (SELECT grp, sum{GAIN} AS gain FROM scored GROUP BY grp HAVING count(*) >= 10),
+o AS (SELECT count(*) AS clusters, count(*) FILTER (gain > 0) AS wins FROM g), l AS (SELECT quantile_cont(v, 0.05) AS lower FROM pb)
+SELECT round(lower, 6) > 0 AS bound_positive, clusters >= 4 AND wins >= ceil(clusters * 0.8) AS signs, round(lower, 6) > -0.02 AS non_inferior,
+CASE WHEN NOT (clusters >= 4 AND wins >= ceil(clusters * 0.8)) THEN 'sign_test_failed' WHEN round(lower, 6) <= 0 THEN 'bound_not_positive' ELSE 'passed' END AS reason FROM o, l""")
+def bound_and_signs(spark: SparkSession, d: str) -> DataFrame:
+    """Bootstrap bound and sign test together, with the first reason to refuse; and whether the loss stays within 0.02."""
+    gain = F.col("correct").cast("int") - (F.col("majority") == F.col("label")).cast("int")
+    rows = predictions(spark, d)
+    lower = resample.mean_ci(rows, "grp", gain, draws=200).select(F.round("lower", 6).alias("lower"))
+    both = resample.sign_test(rows, "grp", gain).crossJoin(F.broadcast(lower))
+    reason = F.when(~F.col("passed"), "sign_test_failed").when(F.col("lower") <= 0, "bound_not_positive").otherwise("passed")
+    return both.select((F.col("lower") > 0).alias("bound_positive"), F.col("passed").alias("signs"), (F.col("lower") > -0.02).alias("non_inferior"), reason.alias("reason"))
+
+
 @query(None)
 def binomial_upper_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Errors and rows of each card with the exact upper bound of the error rate; the bound is made per distinct pair."""

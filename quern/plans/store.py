@@ -37,9 +37,9 @@ LINKS = f"""d AS ({DEC}), links AS (SELECT 'l-' || decision_id AS link_id, decis
 CASE WHEN outcome = 'auto' THEN 'recorded' ELSE 'pending' END AS write_status, answer AS curie FROM d WHERE outcome IN ('auto', 'proposed'))"""
 
 
-@query("SELECT decision_id, task_id, method, confidence FROM decisions WHERE task_id = 'term.fits' AND confidence >= 0.8 AND method = 'clm'")
+@query("SELECT decision_id, task_id, method, confidence FROM decisions WHERE task_id = 'term.fits' AND confidence >= 0.8 AND level = 'probe'")
 def scan_project_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "decisions").where((F.col("task_id") == "term.fits") & (F.col("confidence") >= 0.8) & (F.col("method") == "clm"))
+    rows = read(spark, d, "decisions").where((F.col("task_id") == "term.fits") & (F.col("confidence") >= 0.8) & (F.col("level") == "probe"))
     return rows.select("decision_id", "task_id", "method", "confidence")
 
 
