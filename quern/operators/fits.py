@@ -55,6 +55,46 @@ def temperature(logits: np.ndarray, label: np.ndarray, weights: np.ndarray, low:
     return 1 / (a * b) ** 0.5
 
 
+def temperature_by_group(rows: DataFrame, group: str, key: str, x: str, chosen: str, low: float = 0.05, high: float = 20.0) -> list[tuple]:
+    """(group, n, temperature) by ``temperature`` of rows in long form: one per item of each ``key``, of which one is ``chosen``.
+
+    ``x`` is a score less the greatest one of its key. The slope in the inverse temperature grows with it: Newton steps that
+    leave the bracket give way to bisection. A pass sends sums per key; groups are few and go to the driver.
+    """
+    spark = rows.sparkSession
+
+    def slopes(at: dict) -> dict:
+        points = spark.createDataFrame([(g, b) for g, b in at.items()], rows.select(group).schema.add("b", "double"))
+        e = F.exp(F.col(x) * F.col("b"))
+        on = rows[group].eqNullSafe(points[group])
+        per = rows.join(F.broadcast(points), on).select(rows[group], key, x, chosen, e.alias("e")).groupBy(group, key).agg(
+            F.sum("e").alias("z"), F.sum(F.col("e") * F.col(x)).alias("u"), F.sum(F.col("e") * F.col(x) * F.col(x)).alias("v"), F.sum(F.when(F.col(chosen), F.col(x))).alias("own")
+        )
+        mean = F.col("u") / F.col("z")
+        got = per.groupBy(group).agg(F.count("*").alias("n"), F.sum(mean - F.col("own")).alias("g"), F.sum(F.col("v") / F.col("z") - mean * mean).alias("h"))
+        return {r[0]: tuple(r)[1:] for r in got.collect()}
+
+    groups = [r[0] for r in rows.select(group).distinct().collect()]
+    first = slopes(dict.fromkeys(groups, 1 / high)) if groups else {}
+    last = slopes(dict.fromkeys(groups, 1 / low)) if groups else {}
+    done = {g: high if first[g][1] >= 0 else low for g in groups if first[g][1] >= 0 or last[g][1] <= 0}
+    ends = {g: (1 / high, 1 / low) for g in groups if g not in done}
+    at = {g: min(max(1.0, a), b) for g, (a, b) in ends.items()}
+    for _ in range(80):
+        if not at:
+            break
+        now, then = slopes(at), {}
+        for g, (_, slope, curve) in now.items():
+            a, b = ends[g] = (at[g], ends[g][1]) if slope < 0 else (ends[g][0], at[g])
+            step = at[g] - slope / curve if curve > 0 else 0.0
+            then[g] = step if a < step < b else (a * b) ** 0.5
+            if abs(then[g] - at[g]) <= 1e-11 * at[g] or b - a <= 1e-11 * a or slope == 0:
+                done[g] = 1 / (at[g] if slope == 0 else then.pop(g))
+                then.pop(g, None)
+        at = then
+    return [(g, first[g][0], done.get(g) or 1 / at[g]) for g in groups]
+
+
 def ridge(x: np.ndarray, y: np.ndarray, weights: np.ndarray, k: int, lam: float) -> np.ndarray:
     """Weights (features + offset, classes) of a weighted ridge on class indicators, standardised inside."""
     total = weights.sum()

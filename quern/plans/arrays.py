@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -10,58 +10,83 @@ from ..runtime import read, write_out
 from .registry import query
 from .store import OPT, options
 
-#: Decisions with more options than this stay in long form: an array is one row's memory.
+#: The SQL leaves out decisions with more options than this; the queries leave out none.
 WIDE = 500
 
+#: Option indexes of one block: what is ordered or joined by block has no more rows of a decision at a time.
+BLOCK = 1024
+
 _SETS = f"""o AS ({OPT}), a AS (SELECT decision_id, list(s_c ORDER BY option_index) AS s, list(NOT coalesce(masked, FALSE) ORDER BY option_index) AS keep FROM o
 WHERE s_c IS NOT NULL AND NOT isnan(s_c) GROUP BY decision_id HAVING count(*) <= {WIDE}),
 p AS (SELECT decision_id, s, keep, list_transform(s, lambda v: exp(v - list_max(s))) AS e FROM a), q AS (SELECT decision_id, keep, list_transform(e, lambda v: v / list_sum(e)) AS p FROM p)"""
 
 
-def option_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """(decision_id, s, keep): scores and masks of the options in their order, of decisions up to ``WIDE`` options.
+def option_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(decision_id, block, place, s, keep, m, n): the scored options in long form, with their place in the decision's order,
+    the decision's greatest score and its number of options.
 
-    Sizes are counted first, so that no longer list is ever gathered.
+    Sums by block combine before the exchange; decisions meet their options block by block, so a hot one is spread.
     """
     rows = options(spark, d).where("s_c is not null and not isnan(s_c)")
-    small = rows.groupBy("decision_id").agg(F.count("*").alias("n")).where(F.col("n") <= WIDE).select("decision_id")
-    listed = F.sort_array(F.collect_list(F.struct("option_index", F.col("s_c").alias("s"), (~F.coalesce("masked", F.lit(False))).alias("keep"))))
-    return rows.join(small, "decision_id", "left_semi").groupBy("decision_id").agg(listed.alias("o")).select("decision_id", F.col("o.s").alias("s"), F.col("o.keep").alias("keep"))
+    rows = rows.select("decision_id", F.floor(F.col("option_index") / BLOCK).alias("block"), "option_index", F.col("s_c").alias("s"), (~F.coalesce("masked", F.lit(False))).alias("keep"))
+    whole = Window.partitionBy("decision_id")
+    before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("decision_id", "block").agg(F.max("s").alias("top"), F.count("*").alias("k"))
+    blocks = blocks.select("decision_id", "block", F.max("top").over(whole).alias("m"), F.sum("k").over(whole).alias("n"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("decision_id", "block").orderBy("option_index"))
+    return rows.join(blocks, ["decision_id", "block"]).select("decision_id", "block", (F.col("start") + inside - 1).alias("place"), "s", "keep", "m", "n")
+
+
+def option_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """(decision_id, place, s, keep, m, n, p, anchor): the scored options with their probabilities and that of the first one."""
+    rows = write_out(option_scores(spark, d).withColumn("e", F.exp(F.col("s") - F.col("m"))), "scores")
+    whole = Window.partitionBy("decision_id")
+    blocks = rows.groupBy("decision_id", "block").agg(F.sum("e").alias("z"), F.max(F.when(F.col("place") == 0, F.col("e"))).alias("first"))
+    blocks = blocks.select("decision_id", "block", F.sum("z").over(whole).alias("z"), F.max("first").over(whole).alias("first"))
+    p = (F.col("e") / F.col("z")).alias("p")
+    return rows.join(blocks, ["decision_id", "block"]).select("decision_id", "place", "s", "keep", "m", "n", p, (F.col("first") / F.col("z")).alias("anchor"))
 
 
 @query(f"WITH {_SETS} SELECT decision_id, round(list_max(p), 6) AS top, round(list_min(p), 6) AS low, round(list_sum(list_transform(p, lambda v: v * v)), 6) AS squares FROM q")
 def softmax_array(spark: SparkSession, d: str) -> DataFrame:
-    rows = option_arrays(spark, d).withColumn("p", vectors.softmax(F.col("s")))
-    return rows.select("decision_id", F.round(F.array_max("p"), 6).alias("top"), F.round(F.array_min("p"), 6).alias("low"), F.round(vectors.dot(F.col("p"), F.col("p")), 6).alias("squares"))
+    p = F.col("p")
+    return option_probabilities(spark, d).groupBy("decision_id").agg(F.round(F.max(p), 6).alias("top"), F.round(F.min(p), 6).alias("low"), F.round(F.sum(p * p), 6).alias("squares"))
 
 
 @query(f"""WITH {_SETS}, k AS (SELECT decision_id, list_transform(p, lambda v, i: CASE WHEN keep[i] THEN v ELSE 0 END) AS z, p FROM q)
 SELECT decision_id, round(1 - list_sum(z), 6) AS masked_mass, CASE WHEN list_sum(z) > 0 THEN round(list_max(z) / list_sum(z), 6) END AS top FROM k""")
 def mask_renormalise(spark: SparkSession, d: str) -> DataFrame:
-    rows = option_arrays(spark, d).withColumn("p", vectors.softmax(F.col("s")))
-    mass = vectors.total(F.zip_with("p", "keep", lambda x, k: F.when(k, x).otherwise(F.lit(0.0))))
-    return rows.select("decision_id", F.round(1 - mass, 6).alias("masked_mass"), F.round(F.array_max(vectors.masked(F.col("p"), F.col("keep"))), 6).alias("top"))
+    kept = F.when(F.col("keep"), F.col("p")).otherwise(F.lit(0.0))
+    rows = option_probabilities(spark, d).groupBy("decision_id").agg(F.sum(kept).alias("mass"), F.max(kept).alias("top"))
+    return rows.select("decision_id", F.round(1 - F.col("mass"), 6).alias("masked_mass"), F.when(F.col("mass") > 0, F.round(F.col("top") / F.col("mass"), 6)).alias("top"))
 
 
 @query(f"""WITH {_SETS} SELECT decision_id, (list_position(p, list_max(p)) - 1)::int AS best, round(CASE WHEN len(p) > 1 THEN list_max(p) - (list_sum(p) - list_max(p)) / (len(p) - 1) ELSE list_max(p) END, 6) AS confidence,
 round(CASE WHEN len(p) > 1 THEN list_reverse_sort(p)[1] - list_reverse_sort(p)[2] ELSE p[1] END, 6) AS margin FROM q""")
 def argmax_confidence_margin(spark: SparkSession, d: str) -> DataFrame:
-    rows = option_arrays(spark, d).withColumn("p", vectors.softmax(F.col("s")))
-    p = F.col("p")
-    return rows.select("decision_id", vectors.argmax(p).alias("best"), F.round(vectors.confidence(p), 6).alias("confidence"), F.round(vectors.margin(p), 6).alias("margin"))
+    rows = option_probabilities(spark, d).groupBy("decision_id").agg(
+        F.max(F.struct("p", (-F.col("place")).alias("first"))).alias("b"),
+        F.sum("p").alias("mass"),
+        F.max("n").alias("n"),
+        F.count_if(F.col("s") == F.col("m")).alias("ties"),
+        F.max(F.when(F.col("s") < F.col("m"), F.col("p"))).alias("next"),
+    )
+    top, several = F.col("b.p"), F.col("n") > 1
+    confidence = F.when(several, top - (F.col("mass") - top) / (F.col("n") - 1)).otherwise(top)
+    margin = F.when(F.col("ties") > 1, F.lit(0.0)).when(several, top - F.col("next")).otherwise(top)
+    return rows.select("decision_id", (-F.col("b.first")).cast("int").alias("best"), F.round(confidence, 6).alias("confidence"), F.round(margin, 6).alias("margin"))
 
 
 @query(f"WITH {_SETS} SELECT decision_id, generate_subscripts(p, 1) - 1 AS place, round(unnest(p), 6) AS prob FROM q")
 def explode_options(spark: SparkSession, d: str) -> DataFrame:
-    rows = option_arrays(spark, d).select("decision_id", F.posexplode(vectors.softmax(F.col("s"))).alias("place", "p"))
-    return rows.select("decision_id", F.col("place").cast("long").alias("place"), F.round("p", 6).alias("prob"))
+    return option_probabilities(spark, d).select("decision_id", F.col("place").cast("long").alias("place"), F.round("p", 6).alias("prob"))
 
 
 @query(f"WITH {_SETS}, l AS (SELECT decision_id, list_transform(p, lambda v: ln(greatest(v, 1e-12))) AS l FROM q) SELECT decision_id, round(list_sum(list_transform(l, lambda v: v - l[1])), 5) AS total FROM l")
 def log_odds_to_anchor(spark: SparkSession, d: str) -> DataFrame:
     """Log probability of every option less that of the first one, summed."""
-    rows = option_arrays(spark, d).withColumn("l", F.transform(vectors.softmax(F.col("s")), lambda v: F.ln(F.greatest(v, F.lit(1e-12)))))
-    return rows.select("decision_id", F.round(vectors.total(F.transform("l", lambda v: v - F.col("l")[0])), 5).alias("total"))
+    log = lambda c: F.ln(F.greatest(F.col(c), F.lit(1e-12)))
+    return option_probabilities(spark, d).groupBy("decision_id").agg(F.round(F.sum(log("p") - log("anchor")), 5).alias("total"))
 
 
 _EMB = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v, label FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS len FROM e)"

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fits
-from ..runtime import read
-from .arrays import option_arrays
+from ..runtime import read, write_out
+from .arrays import option_scores
 from .evaluation import predictions
 from .registry import query
 from .store import decisions
@@ -39,20 +39,15 @@ def platt_per_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def temperature_per_task(spark: SparkSession, d: str) -> DataFrame:
-    """The temperature of the option scores of each task, fitted to the chosen options of up to ten offered.
+    """The temperature of the option scores of each task, fitted to the chosen options of all its decisions.
 
-    Ragged score lists are padded; the sums per task go through one fit each.
+    Scores stay in long form; the steps of the fits of all tasks are taken together, each from sums per task.
     """
-    offered = option_arrays(spark, d).where(F.size("s") <= 64)
-    rows = decisions(spark, d).join(offered, "decision_id").where((F.col("answer_index") >= 0) & (F.col("answer_index") < F.size("s"))).select("task_id", "s", "answer_index")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        width = max(map(len, pdf["s"]))
-        z = np.array([np.r_[x, np.full(width - len(x), -1e6)] for x in pdf["s"]])
-        t = fits.temperature(z, pdf["answer_index"].to_numpy(), np.ones(len(pdf)))
-        return pd.DataFrame({"task_id": pdf["task_id"][:1].to_numpy(), "n": [len(pdf)], "temperature": [round(t, 6)]})
-
-    return rows.groupBy("task_id").applyInPandas(fit, "task_id string, n long, temperature double")
+    asked = decisions(spark, d).where("answer_index >= 0").select("decision_id", "task_id", "answer_index")
+    rows = option_scores(spark, d).join(asked, "decision_id").where("answer_index < n")
+    scored = write_out(rows.select("task_id", "decision_id", (F.col("s") - F.col("m")).alias("x"), (F.col("place") == F.col("answer_index")).alias("chosen")), "offered")
+    got = fits.temperature_by_group(scored, "task_id", "decision_id", "x", "chosen")
+    return spark.createDataFrame([(t, n, round(v, 6)) for t, n, v in got], "task_id string, n long, temperature double")
 
 
 def _probe(spark: SparkSession, d: str, fitter: str, grid: list[float]) -> DataFrame:
