@@ -10,14 +10,11 @@ from ..runtime import read, write_out
 from .registry import query
 from .store import OPT, options
 
-#: The SQL leaves out decisions with more options than this; the queries leave out none.
-WIDE = 500
-
 #: Option indexes of one block: what is ordered or joined by block has no more rows of a decision at a time.
 BLOCK = 1024
 
 _SETS = f"""o AS ({OPT}), a AS (SELECT decision_id, list(s_c ORDER BY option_index) AS s, list(NOT coalesce(masked, FALSE) ORDER BY option_index) AS keep FROM o
-WHERE s_c IS NOT NULL AND NOT isnan(s_c) GROUP BY decision_id HAVING count(*) <= {WIDE}),
+WHERE s_c IS NOT NULL AND NOT isnan(s_c) GROUP BY decision_id),
 p AS (SELECT decision_id, s, keep, list_transform(s, lambda v: exp(v - list_max(s))) AS e FROM a), q AS (SELECT decision_id, keep, list_transform(e, lambda v: v / list_sum(e)) AS p FROM p)"""
 
 
