@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import bounded_broadcast, write_out
@@ -15,18 +15,45 @@ from ..runtime import bounded_broadcast, write_out
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
+def _plain(text: str | None) -> str:
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
+    return _CAMEL.sub(" ", plain).lower()
+
+
 def tokens(text: str | None) -> list[str]:
-    """Lower-case words of a value: marks and width folded, camel case and digits split off."""
-    if not text:
-        return []
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return re.findall(r"[^\W\d_]+", _CAMEL.sub(" ", plain).lower())
+    """Lower-case words of a value: marks and width folded, camel case split; digits stay with their letters."""
+    return re.findall(r"[^\W_]+", _plain(text))
+
+
+def placed(text: str | None) -> list[tuple[int, str, int, int]]:
+    """(place, word, from, to): words of a typed value with their places and characters: letters without the digits beside
+    them, numbers, and words with their digits as they stand. A number may belong to the word before or after it, so
+    it has the places of both."""
+    out, at, plain = [], 0, _plain(text)
+    for c in re.finditer(r"[^\W_]+", plain):
+        first, runs = at, list(re.finditer(r"[^\W\d_]+|\d+", c[0]))
+        for r in runs:
+            lo, hi = c.start() + r.start(), c.start() + r.end()
+            if r[0][0].isdigit():
+                out += [(at - 1, r[0], lo, hi), (at, r[0], lo, hi)]
+            else:
+                out.append((at, r[0], lo, hi))
+                at += 1
+        if len(runs) > 1:
+            out += [(p, c[0], c.start(), c.end()) for p in sorted({first, max(first, at - 1)})]
+    return out
+
 
+def _exact(word: str) -> bool:
+    """Numbers are never repaired: another number means another thing."""
+    return any(c.isdigit() for c in word)
 
-def edits(word: str, apart: bool = True) -> int:
-    """Edits that a token may be away from a reference ``word``. Three letters allow one only beside other words of a phrase."""
-    n = len(word)
-    return 2 if n >= 7 else 1 if n >= 4 or n == 3 and not apart else 0
+
+def edits(word: Column, apart: Column) -> Column:
+    """Edits that a token may be away from a reference ``word``. Three letters allow one only beside other words of a phrase;
+    words with digits none."""
+    n = F.when(word.rlike(r"\p{N}"), 0).otherwise(F.length(word))
+    return F.when(n >= 7, 2).when((n >= 4) | ((n == 3) & ~apart), 1).otherwise(0)
 
 
 def distance(a: str, b: str) -> int:
@@ -60,7 +87,7 @@ def shortened(word: str, most: int) -> set[str]:
 
 def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(k, t, v) for k, t in zip(b["kind"], b["token"]) for v in shortened(t, 0 if len(t) < 3 else 1 if len(t) < 5 else 2)]
+        rows = [(k, t, v) for k, t in zip(b["kind"], b["token"]) for v in shortened(t, 0 if len(t) < 3 or _exact(t) else 1 if len(t) < 5 else 2)]
         yield pd.DataFrame(rows, columns=["kind", "token", "variant"])
 
 
@@ -70,7 +97,7 @@ def _word_variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for k, w, most in zip(b["kind"], b["word"], b["most"]):
             rows += [(k, w, v, most, False) for v in shortened(w, most)]
-            heads = {w[:n] for n in range(4, len(w))}
+            heads = set() if _exact(w) else {w[:n] for n in range(4, len(w))}
             heads |= {h[:i] + h[i + 1 :] for h in heads if len(h) > 6 for i in range(3, len(h) - 1)}
             rows += [(k, w, h, most, True) for h in heads]
         yield pd.DataFrame(rows, columns=["kind", "word", "variant", "most", "head"])
@@ -97,7 +124,7 @@ def repair(found: DataFrame, words: DataFrame) -> DataFrame:
     heads = words.mapInPandas(_word_variants, "kind string, word string, variant string, most int, head boolean")
     pairs = sides.join(bounded_broadcast(heads), ["kind", "variant"]).distinct()
     costs = pairs.select("kind", "token", "word", "variant", "most", "head").mapInPandas(_measure, "kind string, token string, word string, cost double")
-    costs = costs.groupBy("kind", "token", "word").agg(F.min("cost").alias("cost"))
+    costs = write_out(costs.groupBy("kind", "token", "word").agg(F.min("cost").alias("cost")), "costs")
     least = costs.groupBy("kind", "token").agg(F.min("cost").alias("least"))
     near = costs.join(least, ["kind", "token"]).where("cost = least")
     one = near.select("kind", "token", F.lit(0).alias("at"), "word", (1 - F.col("cost") / F.length("token")).alias("sim"))
@@ -116,33 +143,42 @@ def repair(found: DataFrame, words: DataFrame) -> DataFrame:
     return whole.union(split).distinct()
 
 
-def reference(items: list[tuple[int, str, str, list[str]]]) -> tuple[list[tuple], list[tuple]]:
-    """Phrases (kind, part, meaning, phrase) and entries (kind, a, b, item_id) of a reference list.
+def _reference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Phrases of the entries of a reference list, one row each.
 
-    An entry's label has two parts. A synonym that keeps one of them says the other in other words; such words mean the
-    same in every entry.
+    A label of several words has two parts, its first word (a) and the others (b). A synonym that keeps one of them says the
+    other in other words; such words mean the same in every entry. A label of one word and a synonym that keeps neither
+    part stand for the whole entry (w).
     """
-    phrases, entries = set(), {}
-    for item, kind, label, others in sorted(items):
-        words = tokens(label)
-        if len(words) < 2:
-            continue
-        a, b = words[0], " ".join(words[1:])
-        entries.setdefault((kind, a, b), item)
-        phrases |= {(kind, "a", a, a), (kind, "b", b, b)}
-        for other in others or []:
-            t = " ".join(tokens(other))
-            if t.endswith(" " + b):
-                phrases.add((kind, "a", a, t[: -len(b) - 1]))
-            elif t.startswith(a + " "):
-                phrases.add((kind, "b", b, t[len(a) + 1 :]))
-    return sorted(phrases), [(*k, v) for k, v in sorted(entries.items())]
+    for batch in batches:
+        rows = []
+        for item, kind, label, others in zip(batch["item_id"], batch["kind"], batch["label"], batch["synonyms"]):
+            words = tokens(label)
+            if not words:
+                continue
+            a, b = words[0], " ".join(words[1:])
+            here = {("a", a, a), ("b", b, b)} if b else {("w", a + "|", a)}
+            for other in others if others is not None else []:
+                t = " ".join(tokens(other))
+                if b and t.endswith(" " + b):
+                    here.add(("a", a, t[: -len(b) - 1]))
+                elif b and t.startswith(a + " "):
+                    here.add(("b", b, t[len(a) + 1 :]))
+                elif t:
+                    here.add(("w", f"{a}|{b}", t))
+            rows += [(item, kind, a, b, *h) for h in sorted(here)]
+        yield pd.DataFrame(rows, columns=["item_id", "kind", "a", "b", "part", "meaning", "phrase"])
 
 
 def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(r, k, f, i, t) for r, k, *texts in zip(b["rid"], b["kind"], b["first"], b["second"]) for f, s in enumerate(texts) for i, t in enumerate(tokens(s))]
-        yield pd.DataFrame(rows, columns=["rid", "kind", "field", "pos", "token"])
+        rows = []
+        for r, k, *texts in zip(b["rid"], b["kind"], b["first"], b["second"]):
+            for f, s in enumerate(texts):
+                told = placed(s)
+                n = 1 + max((t[0] for t in told), default=0)
+                rows += [(r, k, f, i, t, lo, hi, n) for i, t, lo, hi in told]
+        yield pd.DataFrame(rows, columns=["rid", "kind", "field", "pos", "token", "lo", "hi", "of"])
 
 
 def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,61 +187,64 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for rid, kind, hits in zip(b["rid"], b["kind"], b["hits"]):
             hits = [h.asDict() if hasattr(h, "asDict") else h for h in hits]
+            # The name of a whole entry must be more than half of what its field says.
+            hits = [h for h in hits if h["part"] != "w" or 2 * h["size"] > h["of"]]
             # Words inside a longer phrase of the same field don't speak for themselves.
             free = [
                 h for h in hits
                 if not any(o["field"] == h["field"] and o["size"] > h["size"] and o["low"] <= h["low"] and h["high"] <= o["high"] for o in hits)
             ]
-            best: dict[str, dict[str, dict[int, float]]] = {"a": {}, "b": {}}
+            best: dict[str, dict[str, dict[int, float]]] = {"a": {}, "b": {}, "w": {}}
             for h in free:
                 by = best[h["part"]].setdefault(h["meaning"], {})
                 by[h["field"]] = max(by.get(h["field"], 0.0), h["weight"])
             for a, wa in best["a"].items():
                 for m, wb in best["b"].items():
                     rows.append((rid, kind, a, m, sum(wa.values()) + sum(wb.values())))
+            # A whole entry states both parts at once.
+            rows += [(rid, kind, *m.split("|"), 2 * sum(w.values())) for m, w in best["w"].items()]
         yield pd.DataFrame(rows, columns=["rid", "kind", "a", "b", "score"])
 
 
-def canonical(records: DataFrame, items: list[tuple[int, str, str, list[str]]]) -> DataFrame:
+def canonical(records: DataFrame, items: DataFrame | list[tuple]) -> DataFrame:
     """(kind, first, second, item_id) for distinct ``records`` (kind, first, second: string); 0 where no entry fits.
 
-    Each distinct token is repaired against the reference vocabulary; phrases of the list are found in the corrected
-    tokens; entries are ranked by the soft TF-IDF weight of their parts and the best pair of meanings decides. Both
-    parts must be stated: a pair of meanings without an entry has none, and a pair that ties with another one goes to
-    the listed one, then to the smaller item_id. Null and empty texts say nothing; an empty table gives no rows.
+    ``items``: the reference list (item_id: long, kind, label: string, synonyms: array<string>), a table of any size or a
+    short list of tuples; rows without item_id, kind or label have no meaning. Each distinct token is repaired against the reference vocabulary; phrases of
+    the list are found in the corrected tokens; entries are ranked by the soft TF-IDF weight of their parts and the best
+    pair of meanings decides. Both parts must be stated, by their own words or by a name of the whole entry: a pair of
+    meanings without an entry has none, and a pair that ties with another one goes to the listed one, then to the smaller
+    item_id. Numbers in words are never repaired. Null and empty texts say nothing; an empty table gives no rows.
     """
-    spark = records.sparkSession
-    phrases, entries = reference(items)
+    if not isinstance(items, DataFrame):
+        items = records.sparkSession.createDataFrame(items, "item_id long, kind string, label string, synonyms array<string>")
     one = write_out(records.distinct().withColumn("rid", F.monotonically_increasing_id()), "records")
-    told = one.select("rid", "kind", "first", "second").mapInPandas(_tokenise, "rid long, kind string, field int, pos int, token string")
+    told = one.select("rid", "kind", "first", "second").mapInPandas(_tokenise, "rid long, kind string, field int, pos int, token string, lo int, hi int, of int")
     told = write_out(told, "tokens")
-    counts: dict[tuple[str, str], int] = {}
-    for k, a, b, _ in entries:
-        for w in {*a.split(), *b.split()}:
-            counts[k, w] = counts.get((k, w), 0) + 1
-    total = {k: sum(e[0] == k for e in entries) for k in {e[0] for e in entries}}
-    from math import log
-
-    lines = []
-    for p, (kind, part, meaning, phrase) in enumerate(phrases):
-        ws = phrase.split()
-        idf = log(1 + total[kind] / max(1, counts.get((kind, meaning.split()[0]), 1)))
-        lines += [(p, kind, part, meaning, len(ws), i, w, idf / len(ws)) for i, w in enumerate(ws)]
-    table = spark.createDataFrame(lines or [(0, "", "", "", 1, 0, "", 0.0)], "p int, kind string, part string, meaning string, size int, i int, word string, idf double")
-    apart = {(k, x) for k, _, _, x in phrases if " " not in x}
-    known = sorted({(k, w) for k, _, _, x in phrases for w in x.split()})
-    words = spark.createDataFrame([(k, w, edits(w, (k, w) in apart)) for k, w in known] or [("", "", 0)], "kind string, word string, most int")
+    given = items.where("item_id is not null and kind is not null and label is not null").select("item_id", "kind", "label", "synonyms")
+    list_ = write_out(given.mapInPandas(_reference, "item_id long, kind string, a string, b string, part string, meaning string, phrase string"), "list")
+    entries = list_.groupBy("kind", "a", "b").agg(F.min("item_id").alias("item_id"))
+    total = entries.groupBy("kind").agg(F.count("*").alias("total"))
+    of_word = entries.select("kind", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "a", F.when(F.col("b") != "", F.col("b"))), " "))).alias("head"))
+    of_word = of_word.groupBy("kind", "head").agg(F.count("*").alias("n"))
+    phrases = list_.select("kind", "part", "meaning", "phrase").distinct().withColumn("head", F.regexp_extract("meaning", r"^[^ |]*", 0))
+    idf = F.log(1 + F.col("total") / F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)))
+    phrases = phrases.join(of_word, ["kind", "head"], "left").join(total, "kind").select("kind", "part", "meaning", "phrase", F.split("phrase", " ").alias("ws"), idf.alias("idf"))
+    phrases = phrases.select(F.xxhash64("kind", "part", "meaning", "phrase").alias("p"), "kind", "part", "meaning", F.size("ws").alias("size"), (F.col("idf") / F.size("ws")).alias("idf"), F.posexplode("ws").alias("i", "word"))
+    table = write_out(phrases, "phrases")
+    # A phrase of one word stands apart: three letters alone are never repaired.
+    words = table.groupBy("kind", "word").agg(F.bool_or(F.col("size") == 1).alias("apart"))
+    words = write_out(words.select("kind", "word", edits(F.col("word"), F.col("apart")).alias("most")), "words")
     fixed = write_out(repair(told.select("kind", "token").distinct(), words), "repaired")
     # Split tokens take two places, so places count in steps.
-    seen = told.join(fixed, ["kind", "token"]).select("rid", "kind", "field", (F.col("pos") * 2 + F.col("at")).alias("place"), "pos", "at", "word", "sim")
+    seen = told.join(fixed, ["kind", "token"]).select("rid", "kind", "field", "of", (F.col("pos") * 2 + F.col("at")).alias("place"), "pos", "at", "lo", "hi", "word", "sim")
     spots = seen.join(bounded_broadcast(table), ["kind", "word"])
     start = F.when(F.col("size") == 1, F.col("place")).otherwise(2 * (F.col("pos") + F.col("at") - F.col("i")))
-    hits = spots.groupBy("rid", "kind", "field", "p", "part", "meaning", "size", start.alias("start")).agg(F.count_distinct("i").alias("n"), F.sum(F.col("idf") * F.col("sim")).alias("weight"), F.min("place").alias("low"), F.max("place").alias("high"))
+    hits = spots.groupBy("rid", "kind", "field", "of", "p", "part", "meaning", "size", start.alias("start")).agg(F.count_distinct("i").alias("n"), F.sum(F.col("idf") * F.col("sim")).alias("weight"), F.min("lo").alias("low"), F.max("hi").alias("high"))
     hits = hits.where("n = size").groupBy("rid", "kind").agg(
-        F.collect_list(F.struct("field", "part", "meaning", "size", "low", "high", "weight")).alias("hits")
+        F.collect_list(F.struct("field", "of", "part", "meaning", "size", "low", "high", "weight")).alias("hits")
     )
     scored = hits.mapInPandas(_resolve, "rid long, kind string, a string, b string, score double")
-    known = spark.createDataFrame(entries or [("", "", "", 0)], "kind string, a string, b string, item_id long")
-    ranked = scored.join(bounded_broadcast(known), ["kind", "a", "b"], "left")
+    ranked = scored.join(bounded_broadcast(entries), ["kind", "a", "b"], "left")
     best = ranked.groupBy("rid").agg(F.max_by(F.coalesce("item_id", F.lit(0)), F.struct(F.round("score", 9).alias("s"), F.col("item_id").isNotNull().alias("l"), (-F.coalesce("item_id", F.lit(0))).alias("i"))).alias("item_id"))
     return one.join(best, "rid", "left").select("kind", "first", "second", F.coalesce("item_id", F.lit(0).cast("long")).alias("item_id"))

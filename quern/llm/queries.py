@@ -126,8 +126,7 @@ def _p4(spark: SparkSession, d: str) -> DataFrame:
         .select(F.lit("decision_options").alias("src_table"), F.col("decision_id").alias("parent_key"), F.col("option_index").alias("pos"), F.lit("term").alias("kind"), "first", F.lit(None).cast("string").alias("second"))
     )
     keys = canonical.write_out(columns.union(typed), "keys")
-    # The reference list is a fixed table; it is the vocabulary, so it must fit the driver.
-    items = [tuple(r) for r in read(spark, d, "canonical_items").select("item_id", "item_kind", "label", "synonyms").where("item_id is not null and label is not null").take(100_000)]
+    items = read(spark, d, "canonical_items").select("item_id", F.col("item_kind").alias("kind"), "label", "synonyms")
     meant = canonical.canonical(keys.select("kind", "first", "second"), items)
     on = [keys["kind"] == meant["kind"], keys["first"].eqNullSafe(meant["first"]), keys["second"].eqNullSafe(meant["second"])]
     return keys.join(meant, on).select("src_table", "parent_key", "pos", keys["first"], keys["second"], "item_id")

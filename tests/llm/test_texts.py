@@ -37,6 +37,23 @@ def test_canonical_cases(request, spark, kind, first, second, item):
     assert test_canonical_cases.got[kind, first, second] == item
 
 
+CITIES = [
+    (1, "city", "Lisbon", ["Lisboa"]), (2, "city", "Porto Norte", ["Oporto"]), (3, "city", "New York", ["Big Apple", "NYC metro"]), (4, "city", "Route 66 Camp", None),
+    (5, "column", "pm10 mass", []), (6, "column", "pm25 mass", ["fine dust"]), (7, "column", "Mass", []), (8, "job", "nurse", ["sister"]),
+]
+TYPED = [
+    ("city", "Lisbon", 1), ("city", "lisbno", 1), ("city", "LISBOA", 1), ("city", "Oporto", 2), ("city", "oportu", 2), ("city", "porto norte", 2), ("city", "Porto", 0), ("city", "big appel", 3),
+    ("city", "new yrok", 3), ("city", "route66 camp", 4), ("city", "Route 67 Camp", 0), ("city", "Madrid", 0), ("city", None, 0), ("city", "", 0),
+    ("column", "pm25 mass", 6), ("column", "PM10_mass", 5), ("column", "pm26 mass", 0), ("column", "fine dust", 6), ("column", "mass", 7), ("column", "pm25Mass", 6), ("column", "mass of the old grey barn", 0), ("job", "nurse", 8), ("job", "Sister", 8), ("column", "Lisbon", 0),
+]
+
+
+def test_canonical_lists_of_any_form(spark):
+    df = spark.createDataFrame([(k, t, None) for k, t, _ in TYPED], "kind string, first string, second string")
+    got = {(r["kind"], r["first"]): r["item_id"] for r in canonical.canonical(df, CITIES).collect()}
+    assert {(k, t): got[k, t] for k, t, _ in TYPED} == {(k, t): i for k, t, i in TYPED}
+
+
 def test_canonical_empty(spark):
     empty = spark.createDataFrame([], "kind string, first string, second string")
     assert canonical.canonical(empty, ITEMS).count() == 0
