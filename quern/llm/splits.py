@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Written, write_out
+from ..runtime import Written, bounded_broadcast, write_out
 
-#: Edges that one task unites in memory (strings of about 40 bytes: some hundred MB).
-TASK_EDGES = 1_000_000
+#: Edges of one partition of the first level, partitions merged into one on the next, and edges that one task unites at most.
+PART_EDGES, FAN_IN, TASK_EDGES = 50_000, 8, 1_000_000
 
 
 def plain_code(value: Column) -> Column:
@@ -26,6 +26,7 @@ def plain_code(value: Column) -> Column:
 def _unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Local forest of the edges of one partition: every node with the smallest node of its local component."""
     up: dict[str, str] = {}
+    part = 0
 
     def root(x: str) -> str:
         while up[x] != x:
@@ -34,6 +35,7 @@ def _unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return x
 
     for b in batches:
+        part = int(b["part"].iloc[0]) if len(b) else part
         for u, v in zip(b["u"], b["v"]):
             up.setdefault(u, u)
             up.setdefault(v, v)
@@ -42,12 +44,35 @@ def _unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 up[max(a, c)] = min(a, c)
     names = list(up)
     for i in range(0, len(names), 100_000):
-        part = names[i : i + 100_000]
-        yield pd.DataFrame({"u": part, "v": [root(x) for x in part]})
+        these = names[i : i + 100_000]
+        yield pd.DataFrame({"part": part, "node": these, "root": [root(x) for x in these]})
 
 
-def _forest(edges: DataFrame, parts: int) -> DataFrame:
-    return edges.repartition(parts, "u").mapInPandas(_unite, "u string, v string").where("u <> v")
+def _level(edges: DataFrame, parts: int, count: int) -> DataFrame:
+    """(part, node, root): the local forests of ``edges`` (u, v) in ``parts`` partitions.
+
+    Edges of a node keep together; those of a node with more than a partition's share are dealt over several.
+    """
+    share = max(1, count // (2 * parts))
+    hot = edges.groupBy("u").agg(F.count("*").alias("deg")).where(F.col("deg") > share)
+    # At most count / share = 2 x parts nodes are hot.
+    dealt = edges.join(F.broadcast(hot), "u", "left")
+    salt = F.pmod(F.xxhash64("v"), F.coalesce(F.ceil(F.col("deg") / share), F.lit(1)))
+    dealt = dealt.select("u", "v", F.pmod(F.xxhash64(F.col("u"), salt), F.lit(parts)).cast("int").alias("part"))
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_by_part, "part int, node string, root string")
+
+
+def _by_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_unite`` for each part of a task; rows come sorted by part."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        for p, rows in b.groupby("part", sort=True):
+            if held and held[0]["part"].iloc[0] != p:
+                yield from _unite(iter(held))
+                held = []
+            held.append(rows)
+    if held:
+        yield from _unite(iter(held))
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -62,30 +87,51 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
+    """(node, root) of a graph too large for one task, by large-star and small-star steps until nothing changes."""
+    now = Written(edges, "stars")
+    while True:
+        then = Written(_star(_star(now.df, True), False), "stars")
+        same = then.df.count() == now.df.count() and then.df.exceptAll(now.df).isEmpty()
+        now.drop()
+        now = then
+        if same:
+            hung = now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return hung.union(hung.select(F.col("root").alias("node"), "root").distinct())
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES, part_edges: int = PART_EDGES) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (u, v: string); root is the smallest node of the connected set.
 
-    Local forests are built in the partitions and merged level by level into fewer partitions while a level's share
-    per task fits ``task_edges``. Forests that stay larger than one task are closed by large-star and small-star steps,
-    which need no task to hold more than its hash share and end for any graph. Null ends and loops are left out.
+    Distributed union-find: each partition of about ``part_edges`` edges builds its local forest. Forests of ``FAN_IN``
+    partitions are merged on the next level, where only nodes that several partitions know travel, each with its local
+    roots; so a level holds what the one below couldn't settle. The top level is one task, if it has at most
+    ``task_edges`` edges; a larger one is closed by star steps, in which no task holds more than its hash share. Then roots are
+    handed down level by level. Null ends and loops are left out.
     """
     now = Written(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
     count = now.df.count()
-    while count > task_edges:
-        parts = math.ceil(count / task_edges)
-        forest = Written(_star(_star(_forest(now.df, parts), True), False), "forest")
-        fewer = forest.df.count()
-        same = fewer == count and forest.df.exceptAll(now.df).isEmpty()
-        now.drop()
-        now, count = forest, fewer
-        if same:
+    parts, levels = max(1, math.ceil(count / part_edges)), []
+    top = None
+    while True:
+        if parts == 1 and count > task_edges:
+            top = write_out(_stars(now.df), "top")
             break
-    else:
-        done = write_out(_forest(now.df, 1), "forest")
+        local = Written(_level(now.df, parts, count), "local")
         now.drop()
-        return done.select(F.col("u").alias("node"), F.col("v").alias("root")).union(done.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    stars = now.df
-    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        levels.append(local.df.groupBy("node").agg(F.min("root").alias("root")))
+        if parts == 1:
+            break
+        known = local.df.groupBy("node").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("node")
+        now = Written(local.df.join(known, "node").where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct(), "edges")
+        count = now.df.count()
+        parts = math.ceil(parts / FAN_IN)
+    roots = top if top is not None else levels.pop()
+    while levels:
+        above = roots.select(F.col("node").alias("root"), F.col("root").alias("final"))
+        # A root with a third of all nodes meets a side of one row for each key, which AQE splits.
+        roots = levels.pop().join(bounded_broadcast(above), "root", "left").select("node", F.coalesce("final", "root").alias("root"))
+    return write_out(roots, "roots")
 
 
 def code_edges(df: DataFrame, card: str, codes: list[str]) -> DataFrame:

@@ -42,6 +42,14 @@ def test_top_n_threshold_counts_keys_not_rows(spark):
     assert got == {0, 199, 198, 197, 196}
 
 
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e12, 1e308])
+def test_top_n_thresholds_hold_at_any_scale(spark, scale):
+    r = random.Random(5)
+    rows = [("a", i, r.choice([-1, 1]) * r.random() * scale, i % 3, "") for i in range(2000)] + [("b", i, -r.random() * scale, None, "") for i in range(300)]
+    got = {(x["g"], x["k"], x["place"]) for x in topn.top_n(spark.createDataFrame(rows, OPTIONS), "g", "k", "s", 5, "r").collect()}
+    assert got == best(rows, 5)
+
+
 def test_top_n_empty(spark):
     assert topn.top_n(spark.createDataFrame([], OPTIONS), "g", "k", "s", 5, "r").count() == 0
 
@@ -90,6 +98,15 @@ def test_components_equal_union_find(spark, size):
     assert got == {k: v for k, v in find([e for e in edges if e[0] != e[1]]).items()}
 
 
+@pytest.mark.parametrize("task_edges", [1_000_000, 5])
+def test_components_merge_forests_level_by_level(spark, task_edges):
+    # Partitions of 4 edges on three levels; a hub with a third of all edges is dealt over several partitions.
+    r = random.Random(task_edges)
+    edges = [(f"n{r.randint(0, 90)}", f"n{r.randint(0, 90)}") for _ in range(60)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(120)] + [("hub", f"h{i}") for i in range(90)]
+    got = {x["node"]: x["root"] for x in splits.components(spark.createDataFrame(edges, "u string, v string"), task_edges, 4).collect()}
+    assert got == find([e for e in edges if e[0] != e[1]])
+
+
 def test_components_empty(spark):
     assert splits.components(spark.createDataFrame([], "u string, v string")).count() == 0
 
