@@ -49,10 +49,31 @@ WITH v AS (SELECT text_sha256 AS k, min(vec32)::DOUBLE[] AS v FROM vectors
 r AS (SELECT a.k, b.k AS o, row_number() OVER (PARTITION BY a.k ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.k) AS n FROM v a JOIN v b ON a.k <> b.k)
 SELECT DISTINCT least(k, o) AS sha_a, greatest(k, o) AS sha_b FROM r WHERE n <= 5"""
 
+_P6 = """
+WITH r AS (SELECT DISTINCT label_id, bench_card, list_filter(regexp_split_to_array(lower(json_extract_string(state_json, '$.column.description')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w
+  FROM labels WHERE label_id IS NOT NULL AND bench_card IS NOT NULL),
+t AS (SELECT *, len(w) AS n, array_to_string(w, ' ') AS words FROM r WHERE len(w) > 0),
+g AS (SELECT label_id, bench_card, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT *, unnest(range(1, n - 3)) AS i FROM t WHERE n >= 5)),
+k AS (SELECT gram FROM g GROUP BY gram HAVING bool_or(bench_card) AND bool_or(NOT bench_card)),
+p AS (SELECT label_id, i, i - lag(i) OVER (PARTITION BY label_id ORDER BY i) AS step FROM (SELECT DISTINCT label_id, i FROM g JOIN k USING (gram) WHERE bench_card)),
+c AS (SELECT label_id, sum(least(5, coalesce(step, 5))) AS covered FROM p GROUP BY label_id)
+SELECT t.label_id, t.n AS words, CASE WHEN words IN (SELECT words FROM t WHERE NOT bench_card) THEN t.n ELSE coalesce(covered, 0) END::int AS covered
+FROM t LEFT JOIN c USING (label_id) WHERE t.bench_card"""
+
+_FIELDS = ["label", "label_source", "weight", "option_key", "state_sha256", "card", "product_code", "leak_group", "origin", "actor", "created_at"]
+_P3_ALL = (
+    _P3[: _P3.index("SELECT min_by(label_id, n) AS label_id")]
+    + "SELECT task_key, target_sha256, term, min_by(label_id, n) AS label_id, "
+    + ", ".join(f"min_by({f}, n) FILTER (trim(coalesce({f}::varchar, '')) <> '') AS {f}" for f in _FIELDS)
+    + " FROM r GROUP BY task_key, target_sha256, term"
+)
+
 ORACLES = {
     "p1_found": f"SELECT decision_id, option_index FROM ({_TOP})",
     "p1_top_options": _TOP,
     "p2_found": _P2,
     "p3_found": _P3,
+    "p3_survivors": _P3_ALL,
     "p5_found": _P5,
+    "p6_coverage": _P6,
 }

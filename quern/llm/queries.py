@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import read
@@ -97,21 +97,31 @@ def p5_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("q").alias("vec_id"), F.col("v").alias("other_id"), F.round("sim", 6).alias("sim"), place.alias("place")).where(f"place <= {TOP}")
 
 
-def _p6(spark: SparkSession, d: str) -> DataFrame:
-    text = F.get_json_object("state_json", "$.column.description")
-    return overlap.overlaps(read(spark, d, "labels"), "label_id", "bench_card", ["state_sha256", "target_sha256"], text)
+P6 = ("label_id", "bench_card", ["state_sha256", "target_sha256"])
+
+
+def _description() -> Column:
+    return F.get_json_object("state_json", "$.column.description")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p6(spark, d).select(F.least("eval_key", "train_key").alias("label_a"), F.greatest("eval_key", "train_key").alias("label_b"))
+    pairs = overlap.overlaps(read(spark, d, "labels"), *P6, _description())
+    return pairs.select(F.least("eval_key", "train_key").alias("label_a"), F.greatest("eval_key", "train_key").alias("label_b"))
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     """Labels of either split that have a partner in the other one, per split and label_source."""
-    pairs = overlap.write_out(_p6(spark, d), "pairs")
+    counts = overlap.link_counts(read(spark, d, "labels"), *P6, _description())
     sources = read(spark, d, "labels").where("label_id is not null").groupBy("label_id").agg(F.min("label_source").alias("label_source"))
-    sides = [pairs.groupBy(F.col(c).alias("label_id")).agg(F.count("*").alias("links")).withColumn("split", F.lit(s)) for c, s in (("eval_key", "evaluation"), ("train_key", "training"))]
-    return sides[0].union(sides[1]).join(sources, "label_id").groupBy("split", "label_source").agg(F.count("*").alias("labels"), F.sum("links").alias("links"))
+    sides = counts.select(F.col("key").alias("label_id"), "links", F.when(F.col("ev"), "evaluation").otherwise("training").alias("split"))
+    return sides.join(sources, "label_id").groupBy("split", "label_source").agg(F.count("*").alias("labels"), F.sum("links").alias("links"))
+
+
+def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the description of every evaluation label, and those in spans of five words or more that training has, too."""
+    records, texts = overlap.classes(read(spark, d, "labels"), *P6, _description())
+    told = records.where("ev").join(overlap.coverage(texts), "tid")
+    return told.select(F.col("key").alias("label_id"), F.col("n").alias("words"), "covered")
 
 
 def _p4(spark: SparkSession, d: str) -> DataFrame:
@@ -197,4 +207,4 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, target_share double, available_tokens long, wanted_tokens double, used_tokens long, reached_share double, max_repeats int")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors, p4_found, p4_unmatched, p5_found, p5_search, p6_found, p6_counts, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_kinds, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors, p4_found, p4_unmatched, p5_found, p5_search, p6_found, p6_counts, p6_coverage, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_kinds, p9_clean)}
