@@ -6,9 +6,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType
 
 from ..runtime import Written, write_out
 
@@ -24,12 +26,17 @@ def usable(vec: Column, dim: int) -> Column:
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of unit length in double precision."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    """Rows of unit length in double precision, from the bytes of 32-bit numbers."""
+    x = np.frombuffer(b"".join(column.to_pylist()), dtype="<f4").astype(np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+@F.pandas_udf(BinaryType())
+def packed(vecs: pd.Series) -> pd.Series:
+    """The bytes of a vector's 32-bit numbers: they travel as one value, an array as one value for each number."""
+    return pd.Series([np.asarray(v, dtype="<f4").tobytes() for v in vecs])
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of rows sorted by ``key``, with the places where groups begin (and the end)."""
     rest: list[pa.RecordBatch] = []
@@ -104,9 +111,13 @@ def _cells(nodes: DataFrame, n: int, dim: int, seed: int) -> DataFrame:
     if not bits:
         return nodes.withColumn("cell", F.lit(0).cast("long"))
     planes = np.random.default_rng(seed).normal(size=(bits, dim))
-    sign = lambda p: F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(c)) for c in p]), lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y) > 0
-    cell = sum((sign(p).cast("long") * 2**i for i, p in enumerate(planes)), F.lit(0).cast("long"))
-    rows = nodes.withColumn("cell", cell)
+
+    @F.pandas_udf(LongType())
+    def side(vecs: pd.Series) -> pd.Series:
+        x = np.frombuffer(b"".join(vecs), dtype="<f4").reshape(len(vecs), -1).astype(np.float64)
+        return pd.Series(((x @ planes.T > 0) * 2 ** np.arange(bits)).sum(axis=1))
+
+    rows = nodes.withColumn("cell", side("vec"))
     sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / TASK_ROWS).cast("long").alias("deal"))
     # At most 2**bits < 8 n / TASK_ROWS cells; beyond a million of them the join shuffles.
     sizes = F.broadcast(sizes) if bits <= 20 else sizes
@@ -124,9 +135,10 @@ def nn_descent(nodes: DataFrame, dim: int, k: int = 12, trees: int = 5, rounds:
     Random projection trees give the first graph. Each round joins, at every node, its neighbours and reverse
     neighbours with each other, as far as one of the two is new there, and keeps better pairs; reverse lists enter with
     their ``k`` best. It ends when fewer than ``stop`` of all edges changed. Every node is indexed; recall is
-    approximate (the tests hold it to 0.9 at least against brute force). Vectors travel as 32-bit numbers.
+    approximate (the tests hold it to 0.9 at least against brute force). Vectors travel as the bytes of 32-bit numbers.
     """
-    n = nodes.count()
+    kept = Written(nodes.select("id", packed("vec").alias("vec")), "packed")
+    nodes, n = kept.df, kept.df.count()
     first = None
     for t in range(trees):
         cells = _cells(nodes, n, dim, seed + t).repartition("cell").sortWithinPartitions("cell")
@@ -156,22 +168,21 @@ def nn_descent(nodes: DataFrame, dim: int, k: int = 12, trees: int = 5, rounds:
         graph = now
         if changed <= stop * n * k:
             break
+    kept.drop()
     return graph.df.select("u", "v", "sim")
 
 
-def classes(df: DataFrame, key: str, vec: str, dim: int, keep: int) -> DataFrame:
-    """Distinct usable vectors as (id, vec, keys): ``keys`` are the ``keep`` smallest keys that carry the vector.
+def classes(df: DataFrame, key: str, vec: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct usable vectors (id, vec) and their keys (key, id).
 
     A key counts once, with the smallest of its vectors. Equal vectors are one node, so that a vector shared by a third
-    of all keys is no hot spot; of its keys only the smallest can win a tie.
+    of all keys is no hot spot: a node's number is a hash of its vector and the keys carry it without a join.
     """
     rows = df.where(F.col(key).isNotNull() & usable(F.col(vec), dim)).groupBy(F.col(key).alias("key")).agg(F.min(vec).alias("vec"))
-    rows = write_out(rows, "vectors")
-    first = Window.partitionBy("vec").orderBy("key")
-    small = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= keep)
-    one = small.groupBy("vec").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    # Numbers are given once, in a written table.
-    return write_out(one.select(F.monotonically_increasing_id().alias("id"), "vec", "keys"), "nodes")
+    # -0.0 and 0.0 are equal numbers.
+    plain = F.transform("vec", lambda x: x + F.lit(0.0).cast("float"))
+    rows = write_out(rows.withColumn("id", F.xxhash64(plain)), "vectors")
+    return write_out(rows.groupBy("id").agg(F.min("vec").alias("vec")), "nodes"), rows.select("key", "id")
 
 
 def most_similar(df: DataFrame, key: str, vec: str, dim: int, k: int = 5) -> DataFrame:
@@ -180,19 +191,19 @@ def most_similar(df: DataFrame, key: str, vec: str, dim: int, k: int = 5) -> Dat
     Null, short, zero and not finite vectors take no part; repeated rows count once; fewer than ``k`` other keys give
     fewer rows; an empty table gives none.
     """
-    nodes = classes(df, key, vec, dim, k + 1)
-    graph = nn_descent(nodes.select("id", "vec"), dim, k=max(12, 2 * k + 2))
-    keys = nodes.select("id", "keys")
+    nodes, keys = classes(df, key, vec, dim)
+    graph = nn_descent(nodes, dim, k=max(12, 2 * k + 2))
     # Only the first k + 1 keys of a vector can rank among others; all its keys get neighbours below.
-    near = graph.select("u", "v", "sim").union(keys.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(2.0).alias("sim")))
-    offers = near.join(keys.select(F.col("id").alias("v"), F.explode("keys").alias("other")), "v").select("u", "other", "sim")
+    first = Window.partitionBy("id").orderBy("key")
+    small = write_out(keys.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).drop("_r"), "small")
+    near = graph.select("u", "v", "sim").union(nodes.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(2.0).alias("sim")))
+    offers = near.join(small.select(F.col("id").alias("v"), F.col("key").alias("other")), "v").select("u", "other", "sim")
     order = Window.partitionBy("u").orderBy(F.desc("sim"), "other")
     best = offers.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
     lists = best.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("_r", "other", F.least("sim", F.lit(1.0)).alias("sim")))).alias("near")).withColumnRenamed("u", "id")
-    members = df.where(F.col(key).isNotNull() & usable(F.col(vec), dim)).groupBy(F.col(key).alias("key")).agg(F.min(vec).alias("vec"))
-    table = members.join(nodes.select("id", "vec"), "vec").select("key", "id").join(lists, "id")
+    # A node with many keys meets one list; AQE splits its side.
     chosen = F.slice(F.filter("near", lambda x: x["other"] != F.col("key")), 1, k)
-    return table.select("key", F.posexplode(chosen).alias("place", "n")).select("key", F.col("n.other").alias("other"), F.col("n.sim").alias("sim"), (F.col("place") + 1).alias("place"))
+    return keys.join(lists, "id").select("key", F.posexplode(chosen).alias("place", "n")).select("key", F.col("n.other").alias("other"), F.col("n.sim").alias("sim"), (F.col("place") + 1).alias("place"))
 
 
 def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int, beam: int = 32, entries: int = 256, rounds: int = 30) -> DataFrame:

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Written, write_out
+from ..runtime import Written, bounded_broadcast, write_out
 
 #: Items that one task packs, and the fill from which a container isn't opened again.
 SHARD, CLOSED = 20_000, 0.98
-#: Weights of what is left of tokens, documents and attention cost, and how many fitting containers are compared.
-WEIGHTS, CHOICES = (1.0, 0.1, 0.1), 8
+#: Weights of what is left of tokens, documents and attention cost.
+WEIGHTS = (1.0, 0.1, 0.1)
 
 _ROW = "limit_id int, cap int, key string, piece int, start int, n int"
 
@@ -33,22 +33,22 @@ class Bins:
         return sum(w * (r / c) ** 2 for w, r, c in zip(WEIGHTS, rest, self.cap))
 
     def put(self, n: int) -> int:
-        """The container for an item of ``n`` tokens: of the tightest that fit under every constraint, the one with the
-        least weighted norm of what would be left; a new one if none fits."""
-        best, seen, above = None, 0, self.mask >> n
-        at = n
-        while above and seen < CHOICES:
+        """The container for an item of ``n`` tokens: of all that fit under every constraint, the one with the least
+        weighted norm of what would be left, the oldest of equal ones; a new one if none fits.
+
+        Containers are visited from the tightest upwards; what the room in tokens alone adds to the norm ends the search."""
+        best, above, at, area = None, self.mask >> n, n, n * n
+        while above:
             step = (above & -above).bit_length() - 1
             at, above = at + step, above >> step
+            if best is not None and WEIGHTS[0] * ((at - n) / self.cap[0]) ** 2 > best[0]:
+                break
             for b in self.by[at]:
                 left = self.left[b]
-                if left[1] >= 1 and left[2] >= n * n:
-                    seen += 1
+                if left[1] >= 1 and left[2] >= area:
                     score = self._norm(left, n)
-                    if best is None or score < best[0]:
+                    if best is None or (score, b) < best:
                         best = (score, b)
-                    if seen >= CHOICES:
-                        break
             at, above = at + 1, above >> 1
         if best is None:
             b = len(self.left)
@@ -107,7 +107,7 @@ def pack(items: DataFrame, limits: DataFrame, max_docs: int = 64, attention: flo
     that stay open are pooled and packed again in fewer shards, until one is left, so that each level of a limit wastes
     a few containers at most and no task holds more than its shard.
     """
-    fixed = F.broadcast(limits.where("limit_id is not null and capacity_tokens > 0").select("limit_id", F.col("capacity_tokens").alias("cap")).limit(1000))
+    fixed = bounded_broadcast(limits.where("limit_id is not null and capacity_tokens > 0").select("limit_id", F.col("capacity_tokens").alias("cap")))
     one = items.where("key is not null and n is not null and n >= 0").groupBy("key").agg(F.max("n").alias("n"))
     all_ = one.crossJoin(fixed)
     count = F.when(F.col("n") > F.col("cap"), F.ceil(F.col("n") / F.col("cap"))).otherwise(1).cast("int")

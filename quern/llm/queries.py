@@ -9,6 +9,15 @@ from ..runtime import read
 from . import canonical, mixing, neighbours, overlap, packing, residue, splits, survivor, tokens, topn
 
 TOP = 5
+#: Rows of a table of targets at most; one with more is refused, not cut.
+TARGETS = 100_000
+
+
+def _listed(rows: DataFrame) -> list[tuple]:
+    got = rows.take(TARGETS + 1)
+    if len(got) > TARGETS:
+        raise ValueError(f"more than {TARGETS} targets")
+    return [tuple(r) for r in got]
 
 
 def _p1(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +55,7 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     )
     roots = splits.components(edges)
     grouped = splits.write_out(own.join(roots, "node", "left").select("label_id", F.coalesce("root", "node").alias("root")), "grouped")
-    targets = [(r["split_name"], r["share"]) for r in read(spark, d, "split_targets").orderBy("split_name").take(1000)]
+    targets = _listed(read(spark, d, "split_targets").select("split_name", "share").orderBy("split_name"))
     dealt = splits.assign_splits(grouped.groupBy("root").agg(F.count("*").alias("n")), targets)
     return grouped.join(dealt, "root").select("label_id", "split")
 
@@ -185,8 +194,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def _p8(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple]]:
     name = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[_\s]+", "-")
-    rows = read(spark, d, "mix_targets").select(name(F.col("source")).alias("source"), "target_share", "max_repeats").orderBy("source").take(1000)
-    targets = [tuple(r) for r in rows]
+    targets = _listed(read(spark, d, "mix_targets").select(name(F.col("source")).alias("source"), "target_share", "max_repeats").orderBy("source"))
     docs = read(spark, d, "documents").where("doc_id is not null and text <> ''").select("doc_id", name(F.col("source")).alias("source"), "text")
     docs = docs.where(F.col("source").isin([t[0] for t in targets])).select("doc_id", "source", F.sha2("text", 256).alias("key"), tokens.count_tokens(F.col("text")).alias("n"))
     # A text counts once, wherever it is repeated: with its smallest doc_id and that row's source.
