@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+
 #: Rows a group may bring to one fit. Larger groups are summed over distinct rows before they come here.
 FIT_ROWS = 200_000
 
@@ -121,6 +123,78 @@ def discriminant(x: np.ndarray, y: np.ndarray, weights: np.ndarray, k: int, gamm
     return np.vstack([coef, offset])
 
 
+def thin_svd(x: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(z, basis, mean, scale): standardised features in the space that their rows span, ``z = (x - mean) / scale @ basis``."""
+    total = weights.sum()
+    mean = weights @ x / total
+    scale = np.maximum(np.sqrt(weights @ (x - mean) ** 2 / total), 1e-8)
+    u, s, vt = np.linalg.svd((x - mean) / scale, full_matrices=False)
+    rank = int((s > 1e-10 * max(s.max(initial=0.0), 1e-300)).sum())
+    return u[:, :rank] * s[:rank], vt[:rank].T, mean, scale
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, k: int, lam: float, steps: int = 100) -> tuple[np.ndarray, bool]:
+    """((features + offset, classes), converged) of a weighted multinomial logistic regression with a ridge on the features.
+
+    Damped Newton steps on the mean loss in the row space; offsets carry no ridge, the last one is fixed at zero.
+    """
+    z, basis, mean, scale = thin_svd(x, weights)
+    z, w, hot = np.column_stack([z, np.ones(len(z))]), weights / weights.sum(), np.eye(k)[y]
+    r = z.shape[1]
+    ridge_ = np.full((r, k), lam)
+    ridge_[-1] = 0.0
+    free = np.ones((r, k), dtype=bool)
+    free[-1, -1] = False
+    free = free.ravel()
+    beta = np.zeros((r, k))
+
+    def loss(b: np.ndarray) -> float:
+        u = z @ b
+        top = u.max(axis=1)
+        return float(w @ (top + np.log(np.exp(u - top[:, None]).sum(axis=1)) - u[np.arange(len(y)), y]) + 0.5 * (ridge_ * b * b).sum())
+
+    def slope(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = z @ b
+        p = np.exp(u - u.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        return (z.T @ (w[:, None] * (p - hot)) + ridge_ * b).ravel()[free], p
+
+    for _ in range(steps):
+        g, p = slope(beta)
+        if np.abs(g).max() < 1e-9:
+            break
+        h = np.zeros((r, k, r, k))
+        for a in range(k):
+            for b in range(a, k):
+                h[:, a, :, b] = h[:, b, :, a] = z.T @ (z * (w * p[:, a] * ((a == b) - p[:, b]))[:, None])
+        h = h.reshape(r * k, r * k) + np.diag(ridge_.ravel())
+        step = np.zeros(r * k)
+        step[free] = np.linalg.solve(h[np.ix_(free, free)] + 1e-12 * np.eye(int(free.sum())), g)
+        size, now = 1.0, loss(beta)
+        while loss(beta - size * step.reshape(r, k)) > now - 1e-4 * size * (g @ step[free]) + 1e-15 and size > 1e-8:
+            size /= 2
+        beta = beta - size * step.reshape(r, k)
+    coef = (basis @ beta[:-1]) / scale[:, None]
+    return np.vstack([coef, beta[-1] - mean @ coef]), bool(np.abs(slope(beta)[0]).max() < 1e-7)
+
+
+def calibrator(shape: str, scores: np.ndarray, label: np.ndarray, weights: np.ndarray) -> dict:
+    """The calibrator of a task's shape: a Platt curve for single scores (``fit``), a temperature for score rows (``choice``)."""
+    if shape == "fit":
+        slope, offset = platt(scores, (label == 0).astype(float), weights)
+        return {"kind": "platt", "slope": slope, "offset": offset}
+    if shape == "choice":
+        return {"kind": "temperature", "temperature": temperature(scores, label, weights)}
+    raise ValueError(f"unknown shape {shape!r}")
+
+
+def calibrate(model: dict, scores: Column) -> Column:
+    """The calibrated probability of a score, or of each score of an array."""
+    if model["kind"] == "platt":
+        return vectors.sigmoid(scores * model["slope"] + model["offset"])
+    return vectors.softmax(scores, model["temperature"])
+
+
 def platt_by_group(df: DataFrame, group: str, score: str, positive: str, weight: str) -> DataFrame:
     """(group, n, slope, offset) of a Platt curve for each group.
 

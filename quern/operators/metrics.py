@@ -16,19 +16,25 @@ from ..runtime import write_out
 CELLS = 4096
 
 
+def _with(df: DataFrame, sums: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the sums of its group: one row is broadcast, one row for each group is joined as its size demands."""
+    return df.join(sums, by) if by else df.crossJoin(F.broadcast(sums))
+
+
 def tie_groups(df: DataFrame, by: list[str], score: str, descending: bool = True, **sums) -> DataFrame:
     """Distinct scores with their sums and, as ``<name>_before``, the sums of all better (or, ascending, smaller) ones."""
     ties = write_out(df.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*by, score).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), "ties")
     span = ties.groupBy(*by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
     cell = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (CELLS - 1))).otherwise(0)
-    celled = (ties.join(F.broadcast(span), by) if by else ties.crossJoin(F.broadcast(span))).withColumn("_cell", cell.cast("int")).drop("_lo", "_hi")
+    celled = _with(ties, span, by).withColumn("_cell", cell.cast("int")).drop("_lo", "_hi")
     turn = F.desc if descending else F.asc
     ahead = Window.partitionBy(*by).orderBy(turn("_cell")).rowsBetween(Window.unboundedPreceding, -1)
     cells = celled.groupBy(*by, "_cell").agg(*[F.sum(n).alias(n) for n in sums])
     offsets = cells.select(*by, "_cell", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_{n}") for n in sums])
     inside = Window.partitionBy(*by, "_cell").orderBy(turn(score)).rowsBetween(Window.unboundedPreceding, -1)
     before = [(F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"_{n}")).alias(f"{n}_before") for n in sums]
-    return celled.join(F.broadcast(offsets), [*by, "_cell"]).select(*by, score, *sums, *before)
+    # Without groups there are CELLS offsets at most; with groups they grow with the data.
+    return celled.join(offsets if by else F.broadcast(offsets), [*by, "_cell"]).select(*by, score, *sums, *before)
 
 
 def auroc(df: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
@@ -46,7 +52,7 @@ def ece(df: DataFrame, by: list[str], conf: str, correct: str, bins: int = 15) -
     """
     ties = tie_groups(df, by, conf, False, n=F.lit(1), c=F.col(correct).cast("int"))
     totals = ties.groupBy(*by).agg(F.sum("n").alias("_n"))
-    t = ties.join(F.broadcast(totals), by) if by else ties.crossJoin(F.broadcast(totals))
+    t = _with(ties, totals, by)
     # The first _n % bins bins hold one row more.
     small, more = F.floor(F.col("_n") / bins), F.col("_n") % bins
     b = F.explode(F.sequence(F.lit(0), F.least(F.lit(bins), F.col("_n")).cast("int") - 1)).alias("b")
@@ -59,11 +65,30 @@ def ece(df: DataFrame, by: list[str], conf: str, correct: str, bins: int = 15) -
     return per.groupBy(*by).agg(F.sum(F.abs(F.col("conf") - F.col("acc")) / F.col("_n")).alias("ece"))
 
 
+def ece_ordered(df: DataFrame, conf: str, order: str, correct: str, bins: int = 15) -> DataFrame:
+    """The same without averaging: rows of equal confidence stand in the order of a unique hexadecimal string column.
+
+    Places within a tie come from the sizes of cells of the string's first three characters, so no task holds a tie group.
+    """
+    rows = df.select(F.col(conf).alias("conf"), F.col(order).alias("o"), F.col(correct).cast("int").alias("c"), F.substring(order, 1, 3).alias("cell"))
+    ties = tie_groups(rows, [], "conf", False, n=F.lit(1)).select("conf", "n_before")
+    tie = Window.partitionBy("conf").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("conf", "cell").agg(F.count("*").alias("k")).select("conf", "cell", F.coalesce(F.sum("k").over(tie), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("conf", "cell").orderBy("o")) - 1 + F.col("before") + F.col("n_before")
+    total = rows.agg(F.count("*").alias("n"))
+    at = rows.join(cells, ["conf", "cell"]).join(ties, "conf").crossJoin(F.broadcast(total)).select("conf", "c", "n", place.alias("place"))
+    # The first n % bins bins hold one row more.
+    small, more = F.floor(F.col("n") / bins), F.col("n") % bins
+    b = F.when(F.col("place") < more * (small + 1), F.floor(F.col("place") / (small + 1))).otherwise(more + F.floor((F.col("place") - more * (small + 1)) / F.greatest(small, F.lit(1))))
+    per = at.groupBy(b.alias("b"), "n").agg(F.sum("conf").alias("conf"), F.sum("c").alias("acc"))
+    return per.agg(F.sum(F.abs(F.col("conf") - F.col("acc")) / F.col("n")).alias("ece"))
+
+
 def risk_curve(df: DataFrame, by: list[str], conf: str, correct: str) -> DataFrame:
     """Rows by falling confidence: (place, coverage, risk of the rows so far), correctness averaged within ties."""
     ties = tie_groups(df, by, conf, True, n=F.lit(1), c=F.col(correct).cast("int"))
     totals = ties.groupBy(*by).agg(F.sum("n").alias("_n"))
-    t = ties.join(F.broadcast(totals), by) if by else ties.crossJoin(F.broadcast(totals))
+    t = _with(ties, totals, by)
     # Long tie groups are unrolled in blocks, each by a task of its own.
     block = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 10_000).cast("int"))).alias("_b")
     blocks = t.select("*", block).repartition(*by, conf, "_b") if by else t.select("*", block).repartition(conf, "_b")

@@ -5,10 +5,24 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..runtime import write_out
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with ``n``: the place of each row in the order of a column, from zero.
+
+    Rows are sorted in ranges and numbered within each; only the ranges' sizes, one row a task, are summed in one place.
+    """
+    rows = write_out(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    rows = rows.select("*", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(2**33 - 1).alias("_i")).drop("_m")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_p").agg(F.count("*").alias("k")).select("_p", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("_s"))
+    return rows.join(F.broadcast(starts), "_p").withColumn("n", F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
+
 
 def bootstrap_weights(clusters: DataFrame, draws: int) -> DataFrame:
     """(b, cluster, w): how often each cluster is drawn in ``draws`` resamples with replacement.
@@ -16,20 +30,24 @@ def bootstrap_weights(clusters: DataFrame, draws: int) -> DataFrame:
     Draw j of resample b is cluster ``hash(b, j) mod m`` in the order of the names: deterministic, made in parallel and
     without a driver-side generator. ``clusters``: (cluster), distinct.
     """
-    from pyspark.sql import Window
-
-    numbered = clusters.select("cluster", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cluster")) - 1).alias("i"))
+    numbered_ = numbered(clusters.select("cluster"), "cluster").withColumnRenamed("n", "i")
     m = clusters.agg(F.count("*").alias("m"))
     spark = clusters.sparkSession
     drawn = spark.range(draws).withColumnRenamed("id", "b").crossJoin(F.broadcast(m)).select("b", "m", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("j"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b"), F.col("j"))), 1, 12), 16, 10).cast("long")
     picks = drawn.select("b", F.pmod(hashed, F.col("m")).alias("i")).groupBy("b", "i").agg(F.count("*").alias("w"))
-    return picks.join(numbered, "i").select("b", "cluster", "w")
+    return picks.join(numbered_, "i").select("b", "cluster", "w")
 
 
 def mean_ci(df: DataFrame, cluster: str, value: Column, draws: int = 2000, alpha: float = 0.05) -> DataFrame:
     """Mean of ``value`` with cluster bootstrap bounds (n, point, lower, upper, n_valid); resamples use sums per cluster."""
-    sums = df.where(F.col(cluster).isNotNull()).groupBy(F.col(cluster).alias("cluster")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    return ratio_ci(df, cluster, value, F.when(value.isNotNull(), 1).otherwise(0), draws, alpha)
+
+
+def ratio_ci(df: DataFrame, cluster: str, above: Column, below: Column, draws: int = 2000, alpha: float = 0.05) -> DataFrame:
+    """Pooled ratio of two sums with cluster bootstrap bounds (n, point, lower, upper, n_valid); ``n`` is the sum below."""
+    sums = df.where(F.col(cluster).isNotNull()).groupBy(F.col(cluster).alias("cluster")).agg(F.sum(above).alias("s"), F.sum(below).alias("n"))
+    sums = write_out(sums, "sums")
     w = bootstrap_weights(sums.select("cluster"), draws)
     per = w.join(sums, "cluster").groupBy("b").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("v"))
     bounds = per.agg(F.percentile("v", F.lit(alpha)).alias("lower"), F.percentile("v", F.lit(1 - alpha)).alias("upper"), F.count("v").alias("n_valid"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..runtime import read, write_out
+from ..runtime import bounded_broadcast, read, write_out
 from .registry import query
 from .store import OPT, options
 
@@ -122,7 +122,7 @@ def pairwise_s_c(spark: SparkSession, d: str) -> DataFrame:
     long = embeddings(spark, d).select(F.posexplode("v").alias("place", "x")).groupBy("place").agg(F.avg("x").alias("m"))
     anchor = long.agg(F.sort_array(F.collect_list(F.struct("place", "m"))).alias("m")).select(F.col("m.m").alias("anchor"))
     # Classes are few and the anchor is one row: both are broadcast, the vectors stay where they are.
-    scored = embeddings(spark, d).crossJoin(F.broadcast(listed.crossJoin(F.broadcast(anchor))))
+    scored = embeddings(spark, d).crossJoin(bounded_broadcast(write_out(listed.crossJoin(F.broadcast(anchor)), "classes")))
     s = vectors.dot(F.col("v"), F.col("c")) - vectors.dot(F.col("v"), F.col("anchor"))
     return scored.select("vec_id", "candidate", F.round(s, 4).alias("s_c"))
 
@@ -140,7 +140,7 @@ def mean_pairwise_cosine(spark: SparkSession, d: str) -> DataFrame:
 def feature_pair_spec(spark: SparkSession, d: str) -> DataFrame:
     """Sums of the pair features of a vector and its label's centroid."""
     listed = centroids(spark, d).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "c"))).alias("c")).select("label", F.col("c.c").alias("c"))
-    pairs = embeddings(spark, d).join(F.broadcast(listed), "label").withColumn("f", vectors.pair_features(F.col("v"), F.col("c")))
+    pairs = embeddings(spark, d).join(bounded_broadcast(write_out(listed, "centroids")), "label").withColumn("f", vectors.pair_features(F.col("v"), F.col("c")))
     half = F.size("c")
     return pairs.select("vec_id", F.round(vectors.total(F.slice("f", F.lit(1), half)), 4).alias("products"), F.round(vectors.total(F.slice("f", half + 1, half)), 4).alias("gaps"))
 

@@ -7,14 +7,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fits
-from ..runtime import read, write_out
+from ..operators import fits, probe
+from ..runtime import bounded_broadcast, read, write_out
 from .arrays import option_scores
 from .evaluation import predictions
 from .registry import query
 from .store import decisions
 
 
+#: Rows of the sample that a logistic fit reads.
+SAMPLE = 20_000
+
+
 @query(None)
 def platt_per_task(spark: SparkSession, d: str) -> DataFrame:
     """A Platt curve per task: was the decision written, by its score."""
@@ -31,7 +35,8 @@ def platt_per_fold(spark: SparkSession, d: str) -> DataFrame:
     """
     rows = predictions(spark, d).select("grp", F.col("p_yes").alias("s"), (F.col("label") == 0).cast("double").alias("y"))
     own = rows.groupBy("grp", "s", "y").agg(F.count("*").alias("n"))
-    total = own.groupBy("s", "y").agg(F.sum("n").alias("all"))
+    # Distinct scores of a lookup are few (two counts each); their number is checked before they meet every fold.
+    total = bounded_broadcast(write_out(own.groupBy("s", "y").agg(F.sum("n").alias("all")), "scores"))
     pairs = own.select("grp").distinct().crossJoin(total).join(own, ["grp", "s", "y"], "left").withColumn("w", (F.col("all") - F.coalesce("n", F.lit(0))).cast("double")).where("w > 0")
     got = fits.platt_by_group(pairs, "grp", "s", "y", "w")
     return got.select("grp", F.round("slope", 6).alias("slope"), F.round("offset", 6).alias("offset"))
@@ -50,26 +55,17 @@ def temperature_per_task(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t, n, round(v, 6)) for t, n, v in got], "task_id string, n long, temperature double")
 
 
-def _probe(spark: SparkSession, d: str, fitter: str, grid: list[float]) -> DataFrame:
-    """Held-out accuracy of a probe on the embeddings for each fold and grid value.
-
-    Folds are vec_id modulo 8. A fit reads a bounded sample: at most ``fits.FIT_ROWS`` rows by hash of the id.
-    """
-    n = read(spark, d, "embeddings").count()
-    rows = read(spark, d, "embeddings").select("vec_id", "embedding", "label").where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))) < fits.FIT_ROWS)
-    arms = spark.createDataFrame([(f, i, g) for f in range(8) for i, g in enumerate(grid)], "fold int, arm int, value double")
-    pairs = rows.crossJoin(F.broadcast(arms))
+def _embedded(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """(fold, x, y) of all embeddings, folds by vec_id modulo 8, and the number of classes."""
+    rows = read(spark, d, "embeddings").where("vec_id is not null and embedding is not null and label is not null")
+    rows = rows.select((F.col("vec_id") % 8).cast("int").alias("fold"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("int").alias("y"))
+    return rows, (rows.agg(F.max("y")).first()[0] or 0) + 1
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        fold, arm, value = int(pdf["fold"].iloc[0]), int(pdf["arm"].iloc[0]), float(pdf["value"].iloc[0])
-        x, y = np.array(pdf["embedding"].tolist(), dtype=float), pdf["label"].to_numpy()
-        k, test = int(y.max()) + 1, (pdf["vec_id"] % 8 == fold).to_numpy()
-        model = getattr(fits, fitter)(x[~test], y[~test], np.ones((~test).sum()), k, value)
-        hit = (np.column_stack([x[test], np.ones(test.sum())]) @ model).argmax(axis=1) == y[test]
-        return pd.DataFrame({"fold": [fold], "arm": [arm], "value": [value], "n": [int(test.sum())], "hits": [int(hit.sum())]})
 
-    return pairs.groupBy("fold", "arm").applyInPandas(fit, "fold int, arm int, value double, n long, hits long")
+def _probe(spark: SparkSession, d: str, fitter: str, grid: list[float]) -> DataFrame:
+    """Held-out hits of a probe on the embeddings for each fold and grid value; all rows are fitted and scored."""
+    got = probe.cross_validate(*_embedded(spark, d), fitter, grid)
+    return spark.createDataFrame([(f, i, v, n, h) for f, i, v, n, h, _ in got], "fold int, arm int, value double, n long, hits long")
 
 
 @query(None)
@@ -84,9 +80,26 @@ def discriminant_per_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def nested_selection(spark: SparkSession, d: str) -> DataFrame:
-    """For each outer fold, the grid value with the most hits in all other folds (ties to the first), and its hits there."""
-    got = _probe(spark, d, "ridge", [0.1, 1.0, 10.0])
-    totals = got.groupBy("arm", "value").agg(F.sum("hits").alias("all"))
-    inner = got.join(F.broadcast(totals), ["arm", "value"]).withColumn("inner", F.col("all") - F.col("hits"))
-    best = inner.groupBy("fold").agg(F.max(F.struct("inner", (-F.col("arm")).alias("first"), "value", "hits", "n")).alias("b"))
-    return best.select("fold", "b.value", "b.hits", "b.n")
+    """Nested cross-validation of the shrinkage discriminant: value, temperature, hits and loss of each outer fold."""
+    got = probe.nested(*_embedded(spark, d), "discriminant", [0.1, 0.5, 0.9])
+    return spark.createDataFrame([(f, v, t, n, h, round(loss / n, 6)) for f, v, t, n, h, loss in got], "fold int, value double, temperature double, n long, hits long, loss double")
+
+
+@query(None)
+def logistic_per_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Multinomial ridge logistic regression on the embeddings: held-out hits of each fold.
+
+    A fit reads a bounded sample, at most about ``SAMPLE`` rows by hash; the held-out rows are all scored.
+    """
+    rows, k = _embedded(spark, d)
+    n = rows.count()
+    sample = rows.where(F.pmod(F.xxhash64("x", "y"), F.lit(max(1, n))) < SAMPLE).select(F.explode(F.sequence(F.lit(0), F.lit(7))).alias("out"), "fold", "x", "y").where("out <> fold")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.array(pdf["x"].tolist(), dtype=float), pdf["y"].to_numpy()
+        w, done = fits.logistic(x, y, np.ones(len(y)), k, 0.01)
+        return pd.DataFrame({"out": pdf["out"][:1].to_numpy(), "w": [w.ravel().tolist()], "converged": [done]})
+
+    models = {r["out"]: (np.reshape(r["w"], (-1, k)), r["converged"]) for r in sample.groupBy("out").applyInPandas(fit, "out int, w array<double>, converged boolean").collect()}
+    got = probe.score(rows, {str(f): (f, w) for f, (w, _) in models.items()})
+    return spark.createDataFrame([(f, models[f][1], *got[str(f), 1.0][:2]) for f in sorted(models) if (str(f), 1.0) in got], "fold int, converged boolean, n long, hits long")

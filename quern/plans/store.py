@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import select
-from ..runtime import read
+from ..operators import metrics, select
+from ..runtime import bounded_broadcast, read, write_out
 from .registry import query
 
 DEC = "SELECT DISTINCT * FROM decisions"
@@ -311,8 +311,8 @@ def report_by_task(spark: SparkSession, d: str) -> DataFrame:
 SELECT label_id, CASE WHEN weight >= q THEN 'top' ELSE 'rest' END AS stratum FROM base JOIN s USING (task_id) WHERE weight IS NOT NULL""")
 def quantile_strata(spark: SparkSession, d: str) -> DataFrame:
     rows = _labels(spark, d).where("weight is not null")
-    cut = rows.groupBy("task_id").agg(F.percentile("weight", F.lit(0.9)).alias("q"))
-    return rows.join(cut, "task_id").select("label_id", F.when(F.col("weight") >= F.col("q"), "top").otherwise("rest").alias("stratum"))
+    cut = write_out(rows.groupBy("task_id").agg(F.percentile("weight", F.lit(0.9)).alias("q")), "cuts")
+    return rows.join(bounded_broadcast(cut), "task_id").select("label_id", F.when(F.col("weight") >= F.col("q"), "top").otherwise("rest").alias("stratum"))
 
 
 @query(f"""WITH {_L}, r AS (SELECT task_id, card, label_id, md5('7' || label_id) AS h FROM base WHERE trim(card) <> ''),
@@ -358,10 +358,15 @@ def dedup_and_cap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH o AS ({OPT}) SELECT decision_id, option_index, row_number() OVER (PARTITION BY decision_id ORDER BY s_c DESC, option_index) AS place FROM o WHERE NOT coalesce(masked, FALSE) AND s_c IS NOT NULL AND NOT isnan(s_c)")
 def score_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """The place of every option in its decision: a whole ranking, so each decision meets in one sorted, spillable task."""
+    """The place of every option in its decision, from sums before its score and its block of indexes: no task holds a decision."""
     rows = options(spark, d).where("not coalesce(masked, false) and s_c is not null and not isnan(s_c)")
-    w = Window.partitionBy("decision_id").orderBy(F.desc("s_c"), "option_index")
-    return rows.select("decision_id", "option_index", F.row_number().over(w).alias("place"))
+    rows = rows.select("decision_id", "option_index", (F.col("s_c") + 0.0).alias("s_c"), F.floor(F.col("option_index") / 1024).alias("block"))
+    ties = metrics.tie_groups(rows, ["decision_id"], "s_c", True, n=F.lit(1)).select("decision_id", "s_c", "n_before")
+    tie = Window.partitionBy("decision_id", "s_c").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("decision_id", "s_c", "block").agg(F.count("*").alias("k"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("k").over(tie), F.lit(0))).join(ties, ["decision_id", "s_c"])
+    inside = F.row_number().over(Window.partitionBy("decision_id", "s_c", "block").orderBy("option_index"))
+    return rows.join(blocks, ["decision_id", "s_c", "block"]).select("decision_id", "option_index", (F.col("n_before") + F.col("before") + inside).alias("place"))
 
 
 @query(f"WITH o AS ({OPT}) SELECT upper(split_part(option_key, ':', 1)) AS prefix, count(*) AS n, count(DISTINCT option_key) AS keys FROM o WHERE contains(option_key, ':') GROUP BY ALL")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as text_functions
+
 # The line grammars of a card.
 HEADER = r"^#\s*Dataset:\s*(\S+)\s*/\s*(\S+)\s*$"
 PRODUCT = r"^Product:\s*(\S+)\s*[—-]+\s*([^.]+)\.?\s*(.*)$"
@@ -75,3 +77,10 @@ def read_cards(spark: SparkSession, path: str) -> DataFrame:
     parsed = parse(files, "value")
     bad = F.raise_error(F.concat(F.lit("not a dataset card: "), F.col("file")))
     return parsed.select("file", F.when(F.col("parsed").isNotNull(), F.col("parsed")).otherwise(bad).alias("parsed"))
+
+
+def cards_by_product(spark: SparkSession, path: str) -> DataFrame:
+    """(product, cards): the card names of each product, both from the files' names."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1)
+    rows = spark.read.text(path, wholetext=True).select(name.alias("card")).where("card <> ''").distinct()
+    return rows.groupBy(text_functions.product_of(F.col("card")).alias("product")).agg(F.sort_array(F.collect_list("card")).alias("cards"))

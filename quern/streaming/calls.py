@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..operators import select
 from ..runtime import shared_dir
 
 
@@ -36,8 +38,11 @@ def longest_runs(events: DataFrame, kind: str) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, longest long", "now long, best long", "update", "NoTimeout")
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, into a table below the shared folder, and read it back."""
+def drain(stream: DataFrame, label: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there, into a table below the shared folder, and read it back.
+
+    Of a complete result the last batch counts, of an updated one the last row of each of ``keys`` (by default the first column).
+    """
     import uuid
 
     spark = stream.sparkSession
@@ -45,7 +50,19 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     else:
-        keep = lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/out/{batch:06d}")
+        batches: list[int] = []
+
+        def keep(df: DataFrame, batch: int) -> None:
+            df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/out/{batch:06d}")
+            batches.append(batch)
+
         q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/out")
+    if mode != "append" and not batches:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    kept = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", IntegerType())])).parquet(*[f"{path}/out/{b:06d}" for b in sorted(set(batches))])
+    if mode == "complete":
+        return kept.where(F.col("_batch") == max(batches)).drop("_batch")
+    return select.first_per_key(kept, keys or stream.columns[:1], [F.desc("_batch")]).drop("_batch")
