@@ -12,18 +12,25 @@ from pyspark.sql.types import DoubleType
 from ..runtime import write_out
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with ``n``: the place of each row in the order of a column, from zero.
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``n``: the place of each row in the order of the columns, from zero; the columns must tell rows apart.
 
     Rows are sorted in ranges and numbered within each; only the ranges' sizes, one row a task, are summed in one place.
     """
-    rows = write_out(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    rows = write_out(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "numbered")
     rows = rows.select("*", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(2**33 - 1).alias("_i")).drop("_m")
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_p").agg(F.count("*").alias("k")).select("_p", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("_s"))
     return rows.join(F.broadcast(starts), "_p").withColumn("n", F.col("_s") + F.col("_i")).drop("_p", "_i", "_s")
 
 
+def places(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``place`` (from one, in ``order``) and ``rows`` of its group ``by``; a group of any size is spread over the ranges."""
+    rows = numbered(df, *by, *order)
+    ends = rows.groupBy(*by).agg(F.min("n").alias("_first"), F.count("*").alias("rows"))
+    return rows.join(ends, by).withColumn("place", F.col("n") - F.col("_first") + 1).drop("n", "_first")
+
+
 def bootstrap_weights(clusters: DataFrame, draws: int) -> DataFrame:
     """(b, cluster, w): how often each cluster is drawn in ``draws`` resamples with replacement.
 

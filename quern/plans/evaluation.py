@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import lookup, metrics, resample, select
 from ..runtime import read, write_out
-from .registry import query
+from .registry import ORACLES, query
 
 #: Binary tasks of the labels table; their labels are Yes (0) and No (1).
 BINARY = ["term.fits", "column.ontology_fits", "column.annotate"]
@@ -307,8 +307,9 @@ def threshold_within_risk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {ITEMS} SELECT task, card, item, dense_rank() OVER (PARTITION BY task, card ORDER BY split_part(item, '|', 1)) AS slot FROM items""")
 def slot_dense_rank(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("task", "card").orderBy(F.split_part("item", F.lit("|"), F.lit(1)))
-    return items(spark, d).select("task", "card", "item", F.dense_rank().over(w).alias("slot"))
+    rows = items(spark, d).select("task", "card", "item", F.split_part("item", F.lit("|"), F.lit(1)).alias("target"))
+    slots = resample.places(rows.select("task", "card", "target").distinct(), ["task", "card"], ["target"])
+    return rows.join(slots, ["task", "card", "target"]).select("task", "card", "item", F.col("place").alias("slot"))
 
 
 @query(f"""WITH {ITEMS}, h AS (SELECT DISTINCT task, split_part(item, '|', 1) AS target, md5('0:' || split_part(item, '|', 1)) AS h FROM items),
@@ -318,3 +319,56 @@ def hash_order_sample(spark: SparkSession, d: str) -> DataFrame:
     targets = items(spark, d).select("task", F.split_part("item", F.lit("|"), F.lit(1)).alias("target")).distinct()
     order = [F.md5(F.concat(F.lit("0:"), F.col("target"))), F.col("target")]
     return select.top_per_key(targets, ["task"], order, 25)
+
+
+def _by_task(name: str) -> str:
+    """The SQL of a query over the binary task ``term.fits``, for each binary task."""
+    return " UNION ALL ".join(f"SELECT '{t}' AS task, x.* FROM ({ORACLES[name]}) x".replace("task = 'term.fits'", f"task = '{t}'") for t in BINARY)
+
+
+def all_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """The predictions of every binary task, with ``task``."""
+    out = None
+    for t in BINARY:
+        part = predictions(spark, d, task=t).withColumn("task", F.lit(t))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query(_by_task("pooled_scores"))
+def pooled_scores_by_task(spark: SparkSession, d: str) -> DataFrame:
+    rows = all_predictions(spark, d).withColumn("pair", F.array("p_yes", F.round(1 - F.col("p_yes"), 10)))
+    return metrics.scores(rows, ["task"], "pair", "label").select("task", "n", *[F.round(c, 6).alias(c) for c in ("acc", "brier", "nll")])
+
+
+@query(_by_task("macro_f1"))
+def macro_f1_by_task(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.macro_f1(all_predictions(spark, d), ["task"], "pred", "label").select("task", F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query(_by_task("ece_equal_mass"))
+def ece_by_task(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.ece(all_predictions(spark, d), ["task"], "conf", "correct").select("task", F.round("ece", 6).alias("ece"))
+
+
+@query(_by_task("auroc_midrank"))
+def auroc_by_task(spark: SparkSession, d: str) -> DataFrame:
+    rows = all_predictions(spark, d).withColumn("positive", F.col("label") == 0)
+    return metrics.auroc(rows, ["task"], "p_yes", "positive").select("task", F.round("auroc", 6).alias("auroc"))
+
+
+@query(_by_task("aurc_and_coverage"))
+def aurc_by_task(spark: SparkSession, d: str) -> DataFrame:
+    curve = metrics.risk_curve(all_predictions(spark, d), ["task"], "conf", "correct").withColumn("risk", F.round("risk", 12))
+    curve = curve.withColumn("risk", F.when(F.abs(F.col("risk") - F.round("risk", 9)) < 1e-9, F.round("risk", 9)).otherwise(F.col("risk")))
+    return metrics.curve_summary(curve, ["task"], (0.2, 0.3)).select("task", *[F.round(c, 6).alias(c) for c in ("aurc", "coverage_20", "coverage_30")])
+
+
+_CHOICE = "('term.fits', 'column.ontology_fits', 'column.annotate')"
+
+
+@query(f"{loo_sql('card', 'column.aspect').replace(_CHOICE, repr(('column.aspect', 'avu.value_kind')))} SELECT item, grp, pred, majority, novel, conflicting, tied FROM pred")
+def loco_lookup_aspect(spark: SparkSession, d: str) -> DataFrame:
+    """The lookup of a choice task with eight labels."""
+    rows = lookup.leave_one_group_out(items(spark, d, ["column.aspect"]), 8)
+    return rows.select("item", "grp", "pred", "majority", "novel", "conflicting", "tied")

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encode, vectors
 from ..operators import metrics, resample, select
-from ..runtime import read, shared_dir
+from ..runtime import read, shared_dir, write_out
 from ..sources import tables
 from .evaluation import ITEMS, PRED, items, predictions
 from .registry import query
@@ -131,11 +131,10 @@ def best_child_above_parent(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.task, a.card, a.item, b.item AS given FROM r a JOIN r b ON a.task = b.task AND a.card = b.card AND b.p = a.p % a.n + 1 WHERE a.n > 1""")
 def derangement_within_card(spark: SparkSession, d: str) -> DataFrame:
     """Every item gets another item of its card: a rotation of a hashed order has no fixed point."""
-    w = Window.partitionBy("task", "card").orderBy(F.md5(F.concat(F.lit("3"), F.col("item"))), "item")
-    rows = items(spark, d).select("task", "card", "item", F.row_number().over(w).alias("p"))
-    sizes = rows.groupBy("task", "card").agg(F.max("p").alias("n")).where("n > 1")
-    asked = rows.join(sizes, ["task", "card"]).withColumn("p", F.col("p") % F.col("n") + 1).drop("n")
-    return asked.join(rows.withColumnRenamed("item", "given"), ["task", "card", "p"]).select("task", "card", "item", "given")
+    rows = items(spark, d).select("task", "card", "item", F.md5(F.concat(F.lit("3"), F.col("item"))).alias("h"))
+    rows = write_out(resample.places(rows, ["task", "card"], ["h", "item"]).where("rows > 1"), "places")
+    asked = rows.select("task", "card", "item", (F.col("place") % F.col("rows") + 1).alias("place"))
+    return asked.join(rows.select("task", "card", "place", F.col("item").alias("given")), ["task", "card", "place"]).select("task", "card", "item", "given")
 
 
 @query(None)

@@ -38,6 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dirs[0]}"
 
 
+#: Tables of this process that weren't deleted yet.
+_written: list[Written] = []
+
+
 class Written:
     """A table written below the shared folder; ``df`` reads it back, ``drop()`` deletes it."""
 
@@ -46,8 +50,11 @@ class Written:
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        _written.append(self)
 
     def drop(self) -> None:
+        if self in _written:
+            _written.remove(self)
         spark = self.df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -58,6 +65,15 @@ def write_out(df: DataFrame, label: str) -> DataFrame:
     return Written(df, label).df
 
 
+def clean() -> None:
+    """Delete all tables that queries have written out so far: call it once their results were read or written.
+
+    A query's plan reads its written tables until it ends, so they can't go earlier by themselves.
+    """
+    for table in list(_written):
+        table.drop()
+
+
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else ``df`` for a shuffled join."""
     return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).take(limit + 1)) <= limit else df
