@@ -156,6 +156,10 @@ def nn_descent(nodes: DataFrame, dim: int, k: int = 12, trees: int = 5, rounds:
             .groupBy("hub", "id")
             .agg(F.max("fresh").alias("fresh"))
         )
+        # Where nothing is new, nothing is joined: such hubs send no vectors.
+        new = g.where("fresh")
+        lively = new.select(F.col("u").alias("hub")).union(new.select(F.col("v").alias("hub"))).distinct()
+        members = members.join(lively, "hub", "left_semi")
         bounds = g.groupBy("u").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-1.5)).alias("bound")).withColumnRenamed("u", "id")
         work = members.join(nodes.join(bounds, "id", "left").select("id", "vec", F.coalesce("bound", F.lit(-1.5)).alias("bound")), "id")
         found = work.select("hub", "id", "fresh", "bound", "vec").repartition("hub").sortWithinPartitions("hub").mapInArrow(_join_task(k), "u long, v long, sim double")
