@@ -72,6 +72,10 @@ ORACLES = {
     "p1_found": f"SELECT decision_id, option_index FROM ({_TOP})",
     "p1_top_options": _TOP,
     "p2_found": _P2,
+    # Properties that any right result has.
+    "p2_leaks": "SELECT count(DISTINCT label_id) AS labels, 0::bigint AS split_cards, 0::bigint AS split_codes FROM labels WHERE fold_eligible",
+    "p7_valid": "SELECT limit_id, (SELECT count(DISTINCT doc_id) FROM documents) AS docs, 0::bigint AS overfull, 0::bigint AS cut FROM pack_limits",
+    "p8_valid": "SELECT count(DISTINCT regexp_replace(lower(trim(source)), '[_\\s]+', '-', 'g')) AS sources, 0::bigint AS off_target, 0::bigint AS too_often FROM mix_targets WHERE target_share > 0",
     "p3_found": _P3,
     "p3_survivors": _P3_ALL,
     "p5_found": _P5,

@@ -67,6 +67,17 @@ def p2_split_shares(spark: SparkSession, d: str) -> DataFrame:
     return want.join(got, "split", "left").crossJoin(F.broadcast(total)).select("split", "share", F.coalesce("labels", F.lit(0)).alias("labels"), F.round(F.coalesce("labels", F.lit(0)) / F.col("total"), 6).alias("reached"))
 
 
+def p2_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Cards and codes that stand in more than one split (none should), and the number of labels dealt."""
+    rows, _ = _p2_edges(spark, d)
+    dealt = splits.write_out(rows.dropDuplicates(["label_id"]).where("label_id is not null").join(p2_splits(spark, d), "label_id"), "dealt")
+    name = F.when(F.trim(F.coalesce("card", F.lit(""))) != "", F.col("card"))
+    codes = F.explode(F.array_compact(F.array(*[splits.plain_code(F.col(c)) for c in ("product_code", "leak_group")])))
+    several = lambda k: dealt.select(k.alias("k"), "split").where("k is not null").groupBy("k").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n"))
+    cards, coded = several(name).withColumnRenamed("n", "split_cards"), several(codes).withColumnRenamed("n", "split_codes")
+    return dealt.agg(F.count("*").alias("labels")).crossJoin(F.broadcast(cards)).crossJoin(F.broadcast(coded))
+
+
 def _p3(spark: SparkSession, d: str, fields: list[str]) -> DataFrame:
     trust = read(spark, d, "source_trust").groupBy("label_source").agg(F.max("trust").alias("trust"))
     rows = read(spark, d, "labels").withColumn("term", survivor.term_code(F.col("option_key"))).join(F.broadcast(trust), "label_source", "left")
@@ -192,6 +203,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return got.join(F.broadcast(read(spark, d, "pack_limits")), "limit_id").withColumn("fill", F.round(F.col("tokens") / F.col("containers") / F.col("capacity_tokens"), 6))
 
 
+def p7_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Per limit: documents packed, containers with more tokens than they hold and documents cut though they fit (none should be)."""
+    got = packing.write_out(_p7(spark, d).join(F.broadcast(read(spark, d, "pack_limits")), "limit_id"), "packed")
+    over = got.groupBy("limit_id", "container_id", "capacity_tokens").agg(F.sum("n").alias("n")).groupBy("limit_id").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"))
+    per = got.groupBy("limit_id", "key", "capacity_tokens").agg(F.sum("n").alias("n"), F.count("*").alias("pieces"))
+    cut = per.groupBy("limit_id").agg(F.count("*").alias("docs"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens"))).alias("cut"))
+    return cut.join(over, "limit_id").select("limit_id", "docs", "overfull", "cut")
+
+
 def _p8(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple]]:
     name = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"[_\s]+", "-")
     targets = _listed(read(spark, d, "mix_targets").select(name(F.col("source")).alias("source"), "target_share", "max_repeats").orderBy("source"))
@@ -215,4 +235,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, target_share double, available_tokens long, wanted_tokens double, used_tokens long, reached_share double, max_repeats int")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p3_found, p3_survivors, p4_found, p4_unmatched, p5_found, p5_search, p6_found, p6_counts, p6_coverage, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_kinds, p9_clean)}
+def p8_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Listed sources, those with text that miss their part by more than 2 %, and texts used too often (none should be)."""
+    chosen, report = _p8(spark, d)
+    most = spark.createDataFrame([(r[0], int(r[6])) for r in report], "source string, most int")
+    often = chosen.join(F.broadcast(most), "source").agg(F.count_if(F.col("repeats") > F.col("most")).alias("too_often"))
+    off = sum(1 for _, _, have, want, used, _, _ in report if have and abs(used - want) > 0.02 * want + 1)
+    return often.select(F.lit(len(report)).cast("long").alias("sources"), F.lit(off).cast("long").alias("off_target"), "too_often")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top_options, p2_found, p2_splits, p2_split_shares, p2_leaks, p3_found, p3_survivors, p4_found, p4_unmatched, p5_found, p5_search, p6_found, p6_counts, p6_coverage, p7_containers, p7_fill, p7_valid, p8_mix, p8_shares, p8_valid, p9_found, p9_kinds, p9_clean)}
