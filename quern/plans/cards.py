@@ -12,7 +12,11 @@ from ..sources import cards
 from .registry import query
 
 
-@query(None)
+@query(r"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, text, list_filter(ls, lambda x: regexp_matches(x, '^#\s*Dataset:\s*(\S+)\s*/\s*(\S+)\s*$'))[-1] AS hd, list_filter(ls, lambda x: regexp_matches(x, '^Rows:\s*(\d+);\s*months covered:\s*(\S+)\s+to\s+(\S+)'))[-1] AS rw,
+len(list_filter(ls, lambda x: regexp_matches(x, '^-\s*([^|]+)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$'))) AS n_columns FROM l)
+SELECT doc_id, regexp_extract(hd, '^#\s*Dataset:\s*(\S+)\s*/\s*(\S+)\s*$', 1) AS product_code, regexp_extract(hd, '^#\s*Dataset:\s*(\S+)\s*/\s*(\S+)\s*$', 2) AS table_name, coalesce(try_cast(regexp_extract(rw, '^Rows:\s*(\d+);', 1) AS bigint), 0) AS n_rows,
+coalesce(regexp_extract(rw, 'months covered:\s*(\S+)\s+to\s+(\S+)', 1), '') AS months_from, coalesce(regexp_extract(rw, 'months covered:\s*(\S+)\s+to\s+(\S+)', 2), '') AS months_to, n_columns, sha256(text) AS sha256 FROM h WHERE hd IS NOT NULL""")
 def parse_cards(spark: SparkSession, d: str) -> DataFrame:
     """Records of all documents that begin as a card."""
     rows = cards.parse(read(spark, d, "documents").select("doc_id", "text"), "text").where("parsed is not null")

@@ -279,7 +279,16 @@ def bound_and_signs(spark: SparkSession, d: str) -> DataFrame:
     return both.select((F.col("lower") > 0).alias("bound_positive"), F.col("passed").alias("signs"), (F.col("lower") > -0.02).alias("non_inferior"), reason.alias("reason"))
 
 
-@query(None)
+def _upper(rows: str) -> str:
+    """SQL tables ``b`` and ``u`` (e, n, upper): the bound of each distinct pair of ``rows`` by bisection of the binomial tail."""
+    tail = "list_sum(list_transform(range(0, e::bigint + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2))))"
+    return f"""b AS (SELECT DISTINCT e::double AS e, n::double AS n, (e / n)::double AS lo, 1.0::double AS hi, 0 AS i FROM {rows} WHERE e > 0 AND e < n
+  UNION ALL SELECT e, n, CASE WHEN t > 0.05 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN t > 0.05 THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM (SELECT *, {tail} AS t FROM b WHERE i < 60)),
+u AS (SELECT e, n, (lo + hi) / 2 AS upper FROM b WHERE i = 60 UNION ALL SELECT DISTINCT e::double, n::double, CASE WHEN e = 0 THEN 1 - power(0.05, 1.0 / n) ELSE 1.0 END FROM {rows} WHERE e = 0 OR e >= n)"""
+
+
+@query(f"""{PRED.replace('WITH', 'WITH RECURSIVE', 1)}, per AS (SELECT grp, sum((NOT correct)::int) AS e, count(*) AS n FROM scored GROUP BY grp), {_upper('per')}
+SELECT grp, per.e::bigint AS errors, per.n, round(upper, 9) AS upper FROM per JOIN u ON u.e = per.e AND u.n = per.n""")
 def binomial_upper_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Errors and rows of each card with the exact upper bound of the error rate; the bound is made per distinct pair."""
     per = predictions(spark, d).groupBy("grp").agg(F.count_if(~F.col("correct")).alias("errors"), F.count("*").alias("n"))
@@ -293,7 +302,9 @@ def binomial_upper_no_errors(spark: SparkSession, d: str) -> DataFrame:
     return per.select("grp", "n", F.round(1 - F.pow(F.lit(0.05), 1 / F.col("n")), 6).alias("upper"))
 
 
-@query(None)
+@query(f"""{PRED.replace('WITH', 'WITH RECURSIVE', 1)}, t AS (SELECT conf, count(*) AS n, sum((NOT correct)::int) AS e FROM scored GROUP BY conf), c AS (SELECT conf, sum(n) OVER (ORDER BY conf DESC) AS n, sum(e) OVER (ORDER BY conf DESC) AS e FROM t),
+ends AS (SELECT * FROM c WHERE n >= 30), {_upper('ends')}, r(risk) AS (VALUES (0.05::double), (0.1), (0.2), (0.3), (0.4)), m AS (SELECT risk, min(conf) AS threshold FROM ends JOIN u ON u.e = ends.e AND u.n = ends.n, r WHERE upper <= risk GROUP BY risk)
+SELECT risk, threshold FROM r LEFT JOIN m USING (risk)""")
 def threshold_within_risk(spark: SparkSession, d: str) -> DataFrame:
     """The smallest confidence at which at least 30 rows lie above with an error bound within the risk."""
     ties = metrics.tie_groups(predictions(spark, d), [], "conf", True, n=F.lit(1), e=(~F.col("correct")).cast("int"))
