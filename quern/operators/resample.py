@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,28 +71,39 @@ def sign_test(df: DataFrame, cluster: str, better: Column, min_items: int = 10,
     return one.select("clusters", "wins", need.alias("needed"), ((F.col("clusters") >= min_clusters) & (F.col("wins") >= need)).alias("passed"))
 
 
-def _tail(p: float, k: int, n: int) -> float:
-    """Chance of at most ``k`` hits in ``n`` trials of chance ``p``."""
-    if p <= 0:
-        return 1.0
-    if p >= 1:
-        return 1.0 if k >= n else 0.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return math.exp(top) * math.fsum(math.exp(x - top) for x in logs)
+def _terms(p: float, k: int, n: int) -> float:
+    """Chance of at most ``k`` hits in ``n`` trials of chance ``p`` above k / n, over the chance of just ``k``.
+
+    Downwards from ``k`` each term is a smaller share of the one above it: some sqrt(n) terms add to a double, whatever ``k``.
+    """
+    total, last, i = 1.0, 1.0, k
+    while i > 0 and last > 1e-18 * total:
+        j = np.arange(i, max(i - 1024, 0), -1, dtype=float)
+        terms = last * np.cumprod(j / (n - j + 1) * ((1 - p) / p))
+        total, last, i = total + float(terms.sum()), float(terms[-1]), i - len(j)
+    return total
 
 
 def upper_bound(k: int, n: int, alpha: float = 0.05) -> float:
-    """One-sided exact upper bound of a chance after ``k`` hits in ``n`` trials, by bisection of the binomial tail."""
+    """One-sided exact upper bound of a chance after ``k`` hits in ``n`` trials: the root of the binomial tail's logarithm.
+
+    It is concave, so that Newton's steps close in from above; one that leaves the bounds known so far is a bisection.
+    """
     if n <= 0 or k >= n:
         return 1.0
     if k <= 0:
         return 1 - alpha ** (1 / n)
-    low, high = k / n, 1.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if _tail(mid, k, n) > alpha else (low, mid)
-    return (low + high) / 2
+    ways = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - math.log(alpha)
+    low, high, p = k / n, 1.0, (k + 1) / (n + 1)
+    for _ in range(200):
+        total = _terms(p, k, n)
+        over = ways + k * math.log(p) + (n - k) * math.log1p(-p) + math.log(total)
+        low, high = (p, high) if over > 0 else (low, p)
+        step = over * total * (1 - p) / (n - k)
+        if abs(step) <= 1e-11 * p:
+            return p + step
+        p = p + step if low < p + step < high else (low + high) / 2
+    return p
 
 
 def binomial_upper(k: Column, n: Column, alpha: float = 0.05) -> Column:

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -153,6 +154,20 @@ def test_binomial_bounds():
     assert resample.upper_bound(3, 3) == 1.0
 
 
+def test_binomial_bounds_of_many_hits():
+    # A sum over all hits at each step took minutes for these.
+    began = time.process_time()
+    for k in range(100_000, 100_100):
+        u = resample.upper_bound(k, 300_000)
+        assert k / 300_000 < u < 0.34
+    assert time.process_time() - began < 20
+    logs = [math.lgamma(300_001) - math.lgamma(i + 1) - math.lgamma(300_001 - i) + i * math.log(u) + (300_000 - i) * math.log1p(-u) for i in range(k + 1)]
+    assert math.fsum(map(math.exp, logs)) == pytest.approx(0.05, abs=1e-9)
+    for k, n in [(1, 1_000_000), (999_998, 1_000_000), (1, 2)]:
+        u = resample.upper_bound(k, n)
+        assert math.fsum(math.comb(n, i) * u**i * (1 - u) ** (n - i) for i in range(2)) == pytest.approx(0.05, abs=1e-9) if k == 1 else u < 1
+
+
 def test_bootstrap_and_sign(spark):
     rows = [(f"c{i % 6}", float(i % 7 == 0), 1 if i % 6 else -1) for i in range(120)]
     df = spark.createDataFrame(rows, "c string, v double, d int")
